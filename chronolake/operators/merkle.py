@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FAN_OUT = 16
-ROWS_IN_LEAF = 8
-MAX_DEPTH = 6
+from chronolake.session import materialize
+
+FAN_OUT = 32
+ROWS_IN_LEAF = 4
+MAX_LEAVES = 1 << 30
 MAX_SNAPSHOTS = 10_000
 MAX_BROADCAST = 64 << 20
 
@@ -40,7 +42,7 @@ def changed_leaves(leaf_hashes: DataFrame, n: int, since: Sequence[int], depth:
     every = F.sequence(F.lit(0), F.lit(n - 1))
     held = F.array(*[F.lit(x) for x in since])
     entries = leaf_hashes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("m"))  # n entries at most
-    level = entries.select("node", F.transform(every, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("hs"))
+    level = materialize(entries.select("node", F.transform(every, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("hs")), "leaves")
     levels = [level]
     for _ in range(depth):
         up = level.groupBy(F.floor(F.col("node") / FAN_OUT).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "hs"))).alias("c"))
@@ -78,22 +80,25 @@ def history_from_snapshots(
     for i in range(n):
         since.append(last if whole[i] else max(0, i - 1))
         last = i if whole[i] else last
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log(max(2, rows.count() / max(1, n) / rows_in_leaf), FAN_OUT))))
-    leaves = FAN_OUT**depth
-
-    d = rows.select(key.alias("__k"), F.col(at).cast("long").alias("__t"), F.struct(tie, *values).alias("__v")).where("__k is not null and __t is not null")
-    d = d.join(index, "__t").groupBy("__k", "__i").agg(F.max("__v").alias("__v"))
-    d = d.select("__k", "__i", F.pmod(F.xxhash64("__k"), F.lit(leaves)).alias("node"), *[F.col(f"__v.{v}").alias(v) for v in values])
-    hashes = d.groupBy("node", F.col("__i").alias("i")).agg(F.bit_xor(row_hash("__k", values)).alias("x"), F.count(F.lit(1)).alias("c")).select("node", "i", F.xxhash64("x", "c").alias("h"))
+    leaves = min(MAX_LEAVES, max(1, rows.count() // (max(1, n) * rows_in_leaf)))
+    depth = max(1, math.ceil(math.log(leaves, FAN_OUT)))
+
+    d = rows.select(key.alias("__k"), F.col(at).cast("long").alias("__t"), tie, *values).where("__k is not null and __t is not null").join(index, "__t")
+    d = d.withColumn("node", F.pmod(F.xxhash64("__k"), F.lit(leaves)))
+    # For the tree a row is two hashes: the rows themselves stay where they are.
+    small = d.select(F.xxhash64("__k").alias("kh"), "__i", "node", F.struct(tie, row_hash("__k", values).alias("rh")).alias("r"))
+    small = small.groupBy("kh", "__i", "node").agg(F.max("r").alias("r"))
+    hashes = small.groupBy("node", F.col("__i").alias("i")).agg(F.bit_xor("r.rh").alias("x"), F.count(F.lit(1)).alias("c")).select("node", "i", F.xxhash64("x", "c").alias("h"))
     found = changed_leaves(hashes, max(1, n), since or [0], depth)
     if leaves * n * 8 <= MAX_BROADCAST:
         found = F.broadcast(found)
 
     full = F.array(*[F.lit(bool(x)) for x in whole or [False]])
     times = F.array(*[F.lit(r[0]).cast("long") for r in taken]) if taken else F.array(F.lit(0).cast("long"))
-    kept = d.join(found, "node").where(F.array_contains("changed", F.col("__i")))
     absent = F.get(F.filter("changed", lambda i: (i > F.col("__i")) & F.get(full, i)), F.lit(0))  # the next snapshot that would show absence
-    kept = kept.select("__k", "__i", absent.alias("__a"), F.struct(*values).alias("__v"))
+    kept = d.join(found, "node").where(F.array_contains("changed", F.col("__i"))).withColumn("__a", absent)
+    kept = kept.groupBy("__k", "__i").agg(F.max(F.struct(tie, *values)).alias("__v"), F.min("__a").alias("__a"))
+    kept = kept.select("__k", "__i", "__a", F.struct(*[F.col(f"__v.{v}").alias(v) for v in values]).alias("__v"))
     w = W.partitionBy("__k").orderBy("__i")
     kept = kept.select(
         "*", F.lag("__i").over(w).alias("__pi"), F.lag("__a").over(w).alias("__pa"), F.lag("__v").over(w).alias("__pv"), F.lead("__i").over(w).alias("__ni"), F.lead("__v").over(w).alias("__nv")
