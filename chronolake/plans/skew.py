@@ -62,3 +62,14 @@ def spread_shard(bounds: Column, value: Column, salt: Column) -> Column:
     low = _search(bounds, value, lambda b, v: b < v)
     high = _search(bounds, value, lambda b, v: b <= v)
     return F.when(bounds.isNull(), 0).otherwise(F.when(high > low, low + 1 + F.pmod(salt, high - low)).otherwise(low)).cast("int")
+
+
+def with_shards(df: DataFrame, keys: list[str], time: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` with ``__shard`` and ``__hot``, and whether any key is heavy. Shards of a key follow each other in ``time``
+    (numbers, dates or timestamps; NULLs come first). Without ``keys`` the whole table is one key."""
+    rows = df.withColumn("__kh", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
+    bounds = time_bounds(rows.select("__kh", time), "__kh", time, hot_rows)
+    if bounds is None:
+        return rows.withColumn("__shard", F.lit(0)).withColumn("__hot", F.lit(False)).drop("__kh"), False
+    rows = rows.join(F.broadcast(bounds), "__kh", "left").withColumn("__shard", first_shard(F.col("__bounds"), F.col(time)))
+    return rows.withColumn("__hot", F.col("__bounds").isNotNull()).drop("__bounds", "__kh"), True
