@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolake.functions import rlp
 from chronolake.functions.keccak import keccak256
@@ -76,7 +77,7 @@ def _level(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return build
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hashed_path(keys: pd.Series) -> pd.Series:
     """The nibbles of each key's hash, as hex text."""
     return pd.Series([h.hex() for h in keccak256([bytes(k) for k in keys])], dtype=object)
@@ -101,7 +102,7 @@ def state_root(entries: DataFrame, depth: int | None = None) -> DataFrame:
             break
         depth = max(0, depth - GROUP)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def finish(rest: pd.Series, leaf: pd.Series, payload: pd.Series) -> pd.Series:
         nodes = [_encoded(_nibbles(r), bool(is_leaf), bytes(p)) for r, is_leaf, p in zip(rest, leaf, payload)]
         return pd.Series([h.hex() for h in keccak256(nodes)], dtype=object)
@@ -110,7 +111,7 @@ def state_root(entries: DataFrame, depth: int | None = None) -> DataFrame:
     return root.agg(F.coalesce(F.max("root"), F.lit(EMPTY_ROOT.hex())).alias("root"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def account_value(nonce: pd.Series, balance: pd.Series) -> pd.Series:
     """The value of an account without storage and code: nonce and balance (text of a whole number)."""
     return pd.Series([rlp.encode([rlp.number(int(n)), rlp.number(int(b)), EMPTY_ROOT, EMPTY_CODE]) for n, b in zip(nonce, balance)], dtype=object)
