@@ -16,7 +16,7 @@ OVERLAP = 128
 #: What a cut costs: at a paragraph, line, sentence, word, character, inside a character.
 PENALTY = np.array([0.0, 1.0, 4.0, 16.0, 64.0, 4096.0])
 CUTS = ("paragraph", "line", "sentence", "word", "character", "byte", "end")
-BALANCE = 40.0
+BALANCE = 10.0
 SPARSE = 256
 
 
