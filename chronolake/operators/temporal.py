@@ -112,9 +112,9 @@ def block_bounds(blocks: DataFrame) -> DataFrame:
 
 def block_of(txs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(``tx``, ``block``) for different times: the first block whose last time isn't before it."""
-    t = blocks.select(F.lit(0).alias("__one"), (-F.col("max_tx")).alias("__at"), "block")
+    t = blocks.select(F.lit(0).alias("__one"), (-F.col("max_tx")).alias("__at"), (-F.col("block")).alias("__nb"), "block")
     p = txs.select("tx").distinct().select(F.lit(0).alias("__one"), (-F.col("tx")).alias("__when"), "tx")
-    return as_known_at(p, t, key="__one", event_time="__when", order=["__at", "block"], available=["__at"]).select("tx", "block")
+    return as_known_at(p, t, key="__one", event_time="__when", order=["__at", "__nb"], available=["__at"], payload=["block"]).select("tx", "block")
 
 
 def block_gaps(blocks: DataFrame) -> DataFrame:
