@@ -60,11 +60,11 @@ def safe_mul(a: Column, b: Column) -> Column:
 
 
 def byte_count(n: Column) -> Column:
-    """A number of bytes for reading: 1024-based, one decimal."""
+    """A number of bytes for reading: 1024-based, one decimal, halves to the even digit."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
     for i, unit in enumerate("KMGTPE"):
         size = 1024.0 ** (i + 1)
-        out = out.when(n < size * 1024, F.format_string(f"%.1f {unit}B", n / size))
+        out = out.when(n < size * 1024, F.format_string(f"%.1f {unit}B", F.bround(n / size, 1)))
     return out
 
 

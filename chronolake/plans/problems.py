@@ -95,7 +95,7 @@ def p2_run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p3_found",
     """
     WITH r AS (
-      SELECT series, start_tx_num AS s, end_tx_num AS f FROM files_item
+      SELECT DISTINCT series, start_tx_num AS s, end_tx_num AS f FROM files_item
       WHERE start_tx_num < end_tx_num AND can_delete IS DISTINCT FROM true AND series IS NOT NULL
     ), m AS (
       SELECT *, max(f) OVER (PARTITION BY series ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r
