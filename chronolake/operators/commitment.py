@@ -25,29 +25,55 @@ def _compact(path: Sequence[int], leaf: bool) -> bytes:
     return bytes(16 * a + b for a, b in zip(nibbles[::2], nibbles[1::2]))
 
 
-def _reference(encoded: bytes) -> bytes:
-    return encoded if len(encoded) < 32 else rlp.encode(keccak256([encoded])[0])
-
-
-def _encoded(path: Sequence[int], leaf: bool, payload: bytes) -> bytes:
-    """A finished node: a leaf with its value, or a branch behind the rest of its path (``payload``: the branch)."""
-    if leaf:
-        return rlp.encode([_compact(path, True), payload])
-    if not path:
-        return payload
-    body = rlp.encode(_compact(path, False)) + _reference(payload)
-    return rlp._prefix(0xC0, len(body)) + body
-
-
-def _branch(children: dict[int, tuple]) -> bytes:
-    refs = [_reference(_encoded(*children[i])) if i in children else b"\x80" for i in range(16)]
-    body = b"".join(refs) + b"\x80"
-    return rlp._prefix(0xC0, len(body)) + body
-
-
-def _join(nodes: list[tuple[tuple[int, ...], tuple]], depth: int) -> tuple:
-    """The open node above nodes with full paths: (rest of the path below ``depth``, is it a leaf, payload). Nodes are sorted;
-    an open node can still grow towards the root, so a lone child becomes part of a longer path."""
+class Branch:
+    """A branch with open nodes as children by nibble; its bytes are known once those of its children are."""
+
+    def __init__(self, children: dict[int, tuple]) -> None:
+        self.children = children
+        self.height = 1 + max((c[2].height for c in children.values() if isinstance(c[2], Branch)), default=0)
+        self.encoded = b""
+
+
+def _references(encoded: list[bytes]) -> list[bytes]:
+    """How a parent refers to nodes: short ones lie in it, of others it has the hash. Hashed all at once."""
+    long = [i for i, e in enumerate(encoded) if len(e) >= 32]
+    out = list(encoded)
+    for i, h in zip(long, keccak256([encoded[i] for i in long])):
+        out[i] = rlp.encode(h)
+    return out
+
+
+def _finished(nodes: list[tuple]) -> list[bytes]:
+    """The bytes of open nodes (path, is it a leaf, value or bytes of the branch behind the path)."""
+    behind = [i for i, (path, leaf, _) in enumerate(nodes) if path and not leaf]
+    refs = dict(zip(behind, _references([nodes[i][2] for i in behind])))
+    out = []
+    for i, (path, leaf, payload) in enumerate(nodes):
+        if leaf:
+            out.append(rlp.encode([_compact(path, True), payload]))
+        elif path:
+            body = rlp.encode(_compact(path, False)) + refs[i]
+            out.append(rlp._prefix(0xC0, len(body)) + body)
+        else:
+            out.append(payload)
+    return out
+
+
+def _seal(branches: list[Branch]) -> None:
+    """Fills in the bytes of branches, all of one height at a time."""
+    for height in sorted({b.height for b in branches}):
+        level = [b for b in branches if b.height == height]
+        slots = [(b, i) for b in level for i in b.children]
+        nodes = [(p, leaf, x.encoded if isinstance(x, Branch) else x) for p, leaf, x in (b.children[i] for b, i in slots)]
+        refs = dict(zip(((id(b), i) for b, i in slots), _references(_finished(nodes))))
+        for b in level:
+            body = b"".join(refs.get((id(b), i), b"\x80") for i in range(16)) + b"\x80"
+            b.encoded = rlp._prefix(0xC0, len(body)) + body
+
+
+def _join(nodes: list[tuple[tuple[int, ...], tuple]], depth: int, made: list[Branch]) -> tuple:
+    """The open node above nodes with full paths: (rest of the path below ``depth``, is it a leaf, value or branch). Nodes are
+    sorted; an open node can still grow towards the root, so a lone child becomes part of a longer path."""
     if len(nodes) == 1:
         path, (rest, leaf, payload) = nodes[0]
         return (path[depth:] + tuple(rest), leaf, payload)
@@ -58,9 +84,10 @@ def _join(nodes: list[tuple[tuple[int, ...], tuple]], depth: int) -> tuple:
     children, begin = {}, 0
     for i in range(1, len(nodes) + 1):
         if i == len(nodes) or nodes[i][0][fork] != nodes[begin][0][fork]:
-            children[nodes[begin][0][fork]] = _join(nodes[begin:i], fork + 1)
+            children[nodes[begin][0][fork]] = _join(nodes[begin:i], fork + 1, made)
             begin = i
-    return (first[depth:fork], False, _branch(children))
+    made.append(Branch(children))
+    return (first[depth:fork], False, made[-1])
 
 
 def _nibbles(hexed: str) -> tuple[int, ...]:
@@ -71,7 +98,10 @@ def _level(depth: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("path")
         nodes = [(_nibbles(p), (_nibbles(r), bool(leaf), bytes(x))) for p, r, leaf, x in zip(rows["path"], rows["rest"], rows["leaf"], rows["payload"])]
-        rest, leaf, payload = _join(nodes, depth)
+        made: list[Branch] = []
+        rest, leaf, payload = _join(nodes, depth, made)
+        _seal(made)
+        payload = payload.encoded if isinstance(payload, Branch) else payload
         return pd.DataFrame({"path": [rows["path"].iloc[0][:depth]], "rest": ["".join(f"{n:x}" for n in rest)], "leaf": [leaf], "payload": [payload]})
 
     return build
@@ -95,7 +125,7 @@ def state_root(entries: DataFrame, depth: int | None = None) -> DataFrame:
     if depth is None:
         n, depth = entries.count(), 0
         while n > 4096 * 16**depth:
-            depth += GROUP
+            depth += 1
     while True:
         rows = rows.groupBy(F.substring("path", 1, depth).alias("prefix")).applyInPandas(_level(depth), "path string, rest string, leaf boolean, payload binary")
         if depth == 0:
@@ -104,7 +134,7 @@ def state_root(entries: DataFrame, depth: int | None = None) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def finish(rest: pd.Series, leaf: pd.Series, payload: pd.Series) -> pd.Series:
-        nodes = [_encoded(_nibbles(r), bool(is_leaf), bytes(p)) for r, is_leaf, p in zip(rest, leaf, payload)]
+        nodes = _finished([(_nibbles(r), bool(is_leaf), bytes(p)) for r, is_leaf, p in zip(rest, leaf, payload)])
         return pd.Series([h.hex() for h in keccak256(nodes)], dtype=object)
 
     root = rows.select(finish("rest", "leaf", "payload").alias("root"))
