@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm.mime import text_parts, words
-from chronolake.session import materialize
+from chronolake.session import materialize, spread
 
 SHINGLE = 5
 WINDOW = 13
@@ -124,7 +124,7 @@ def leaked_items(
             signed = h.view(np.int64).tolist()
             rows += [(i, ws[k : k + window], signed[k : k + per]) for k in range(len(ws) - window + 1)]
         scan = _scanner(vocabulary, np.unique(np.concatenate(known)), window, read, doc_id)
-        parts = documents.select(doc_id, text).mapInArrow(scan, f"`{doc_id}` {kinds['d']}, part int, pos array<int>, sh array<bigint>, words array<string>")
+        parts = spread(documents.select(doc_id, text)).mapInArrow(scan, f"`{doc_id}` {kinds['d']}, part int, pos array<int>, sh array<bigint>, words array<string>")
         parts = materialize(parts, "shingles")
         frequency = parts.select(F.explode(F.array_distinct("sh")).alias("sh")).groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
         windows = spark.createDataFrame(rows, f"item {kinds['i']}, win array<string>, shs array<bigint>").withColumn("w", F.monotonically_increasing_id())

@@ -10,7 +10,7 @@ from chronolake.llm.mix import mix, reached_shares
 from chronolake.llm.split import split_oversized
 from chronolake.llm.tokens import count_tokens
 from chronolake.plans.registry import Registry
-from chronolake.session import materialize, table
+from chronolake.session import materialize, spread, table
 
 llm = Registry()
 
@@ -44,7 +44,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     listed = table(spark, sf_dir, "documents").join(targets.select("source"), "source", "left_semi")
-    sized = materialize(listed.select("doc_id", "source", "lang", count_tokens(F.col("text")).alias("n_tokens")), "sized")
+    sized = materialize(spread(listed.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", count_tokens(F.col("text")).alias("n_tokens")), "sized")
     return mix(sized, targets, domain_of=DOMAINS)
 
 

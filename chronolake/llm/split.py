@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm.tokens import TOKENIZER, encoder, token_lengths
+from chronolake.session import spread
 
 MAX_TOKENS = 4096
 OVERLAP = 128
@@ -122,7 +123,7 @@ def split_oversized(
     """
     if not 0 <= overlap < max_tokens // 2:
         raise ValueError("the overlap must be less than half of max_tokens")
-    long = documents.where(F.octet_length(text) > max_tokens).select(doc_id, text)
+    long = spread(documents.where(F.octet_length(text) > max_tokens).select(doc_id, text))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
