@@ -118,13 +118,13 @@ def state_root(entries: DataFrame, depth: int | None = None) -> DataFrame:
 
     Paths are hashes of keys, so subtrees below equal prefixes are of equal size. Subtrees are built where their rows are;
     each is one open node, and nodes of GROUP nibbles are joined level by level up to the root. ``depth``: the length of
-    the first prefix, by default for some thousand keys a subtree. NULL keys or values are left out; an empty table has the
+    the first prefix, by default for about 32768 keys a subtree at most. NULL keys or values are left out; an empty table has the
     root of the empty tree; repeated keys are an error.
     """
     rows = entries.where("k is not null and v is not null").select(hashed_path("k").alias("path"), F.lit("").alias("rest"), F.lit(True).alias("leaf"), F.col("v").alias("payload"))
     if depth is None:
         n, depth = entries.count(), 0
-        while n > 4096 * 16**depth:
+        while n > 32_768 * 16**depth:
             depth += 1
     while True:
         rows = rows.groupBy(F.substring("path", 1, depth).alias("prefix")).applyInPandas(_level(depth), "path string, rest string, leaf boolean, payload binary")

@@ -84,19 +84,19 @@ def history_from_snapshots(
     depth = max(1, math.ceil(math.log(leaves, FAN_OUT)))
 
     d = rows.select(key.alias("__k"), F.col(at).cast("long").alias("__t"), tie, *values).where("__k is not null and __t is not null").join(index, "__t")
-    d = d.withColumn("node", F.pmod(F.xxhash64("__k"), F.lit(leaves)))
+    d = d.withColumn("__node", F.pmod(F.xxhash64("__k"), F.lit(leaves)))
     # For the tree a row is two hashes: the rows themselves stay where they are.
-    small = d.select(F.xxhash64("__k").alias("kh"), "__i", "node", F.struct(tie, row_hash("__k", values).alias("rh")).alias("r"))
+    small = d.select(F.xxhash64("__k").alias("kh"), "__i", F.col("__node").alias("node"), F.struct(tie, row_hash("__k", values).alias("rh")).alias("r"))
     small = small.groupBy("kh", "__i", "node").agg(F.max("r").alias("r"))
     hashes = small.groupBy("node", F.col("__i").alias("i")).agg(F.bit_xor("r.rh").alias("x"), F.count(F.lit(1)).alias("c")).select("node", "i", F.xxhash64("x", "c").alias("h"))
-    found = changed_leaves(hashes, max(1, n), since or [0], depth)
+    found = changed_leaves(hashes, max(1, n), since or [0], depth).select(F.col("node").alias("__node"), F.col("changed").alias("__changed"))
     if leaves * n * 8 <= MAX_BROADCAST:
         found = F.broadcast(found)
 
     full = F.array(*[F.lit(bool(x)) for x in whole or [False]])
     times = F.array(*[F.lit(r[0]).cast("long") for r in taken]) if taken else F.array(F.lit(0).cast("long"))
-    absent = F.get(F.filter("changed", lambda i: (i > F.col("__i")) & F.get(full, i)), F.lit(0))  # the next snapshot that would show absence
-    kept = d.join(found, "node").where(F.array_contains("changed", F.col("__i"))).withColumn("__a", absent)
+    absent = F.get(F.filter("__changed", lambda i: (i > F.col("__i")) & F.get(full, i)), F.lit(0))  # the next snapshot that would show absence
+    kept = d.join(found, "__node").where(F.array_contains("__changed", F.col("__i"))).withColumn("__a", absent)
     kept = kept.groupBy("__k", "__i").agg(F.max(F.struct(tie, *values)).alias("__v"), F.min("__a").alias("__a"))
     kept = kept.select("__k", "__i", "__a", F.struct(*[F.col(f"__v.{v}").alias(v) for v in values]).alias("__v"))
     w = W.partitionBy("__k").orderBy("__i")

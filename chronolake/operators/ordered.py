@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from chronolake.plans.skew import HOT_ROWS, with_shards
 
 
+def _fresh(df: DataFrame, names: Iterable[str]) -> None:
+    if clash := {*names} & {*df.columns}:
+        raise ValueError(f"columns clash, rename them: {sorted(clash)}")
+
+
 def _window(keys: Sequence[str], time: str, ties: Sequence[str], forward: bool):
     order = [F.col(c).asc_nulls_first() if forward else F.col(c).desc_nulls_last() for c in (time, *ties)]
     return W.partitionBy(*keys, "__shard").orderBy(*order)
@@ -28,6 +33,7 @@ def neighbour(df: DataFrame, *, keys: Sequence[str], time: str, ties: Sequence[s
     sequence. Heavy keys are sharded by ``time``; each shard gets the last row of the shard before it. NULL keys are a key
     of their own, NULL times come first; rows equal in ``time`` and ``ties`` are in no defined order.
     """
+    _fresh(df, take)
     rows, sharded = with_shards(df, list(keys), time, hot_rows)
     w = _window(keys, time, ties, forward)
     got = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
@@ -52,6 +58,7 @@ def running(df: DataFrame, *, keys: Sequence[str], time: str, ties: Sequence[str
     Heavy keys are sharded; totals of earlier shards are carried in.
     """
     sums, mins = sums or {}, mins or {}
+    _fresh(df, [*sums, *mins, "rank"])
     rows, sharded = with_shards(df, list(keys), time, hot_rows)
     w = _window(keys, time, ties, True)
     upto = w.rowsBetween(W.unboundedPreceding, 0)
@@ -74,5 +81,6 @@ def running(df: DataFrame, *, keys: Sequence[str], time: str, ties: Sequence[str
 
 def global_rank(df: DataFrame, *, order: str, ties: Sequence[str] = (), name: str = "rank", base: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` with consecutive numbers from ``base`` in the order of ``order``, ``ties`` over the whole table."""
+    _fresh(df, [name])
     ranked = running(df, keys=[], time=order, ties=ties, hot_rows=hot_rows)
-    return ranked.withColumn(name, F.col("rank") - 1 + base) if name == "rank" else ranked.withColumn(name, F.col("rank") - 1 + base).drop("rank")
+    return ranked.select(*[F.col(c) for c in df.columns], (F.col("rank") - 1 + base).alias(name))
