@@ -40,3 +40,34 @@ def decode_account(data: pd.Series) -> pd.DataFrame:
         except ValueError:
             rows.append([None, None])
     return pd.DataFrame({"nonce": pd.array([r[0] for r in rows], "Int64"), "balance": [None if r[1] is None else str(r[1]) for r in rows]})
+
+
+def encode_full_account(nonce: int, balance: int, code_hash: bytes = b"", incarnation: int = 0) -> bytes:
+    """All four parts of an account, each behind the count of its bytes."""
+    return _parts(nonce, balance) + bytes([len(code_hash)]) + code_hash + _parts(incarnation)
+
+
+def decode_full_account(data: bytes) -> tuple[int, int, bytes, int]:
+    """The parts of an account; empty bytes are the empty one."""
+    if not data:
+        return 0, 0, b"", 0
+    parts, at = [], 0
+    for _ in range(4):
+        if at >= len(data) or at + 1 + data[at] > len(data):
+            raise ValueError("account ends early")
+        parts.append(data[at + 1 : at + 1 + data[at]])
+        at += 1 + data[at]
+    return int.from_bytes(parts[0]), int.from_bytes(parts[1]), parts[2], int.from_bytes(parts[3])
+
+
+def encode_sender(nonce: int, balance: int) -> bytes:
+    """A byte that says which parts follow (1: nonce, 2: balance), then the parts that aren't 0, each behind its length."""
+    return bytes([(nonce > 0) + 2 * (balance > 0)]) + b"".join(_parts(x) for x in (nonce, balance) if x)
+
+
+def decode_sender(data: bytes) -> tuple[int, int]:
+    if not data:
+        return 0, 0
+    given = [data[0] & 1, data[0] >> 1 & 1]
+    values = iter(_numbers(data[1:], sum(given)))
+    return next(values) if given[0] else 0, next(values) if given[1] else 0

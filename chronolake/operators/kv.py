@@ -151,9 +151,8 @@ def put_if_absent(table: DataFrame, updates: DataFrame) -> DataFrame:
 
 def appended_in_order(table: DataFrame, rows: DataFrame) -> DataFrame:
     """The table with rows that must all come after its last key; an error when run if one doesn't."""
-    last = table.agg(F.max("k").alias("__last"))
-    late = F.col("__last").isNotNull() & (F.col("k") <= F.col("__last"))
-    checked = rows.join(F.broadcast(last)).withColumn("k", F.when(late, F.raise_error(F.concat(F.lit("key out of order: "), F.col("k").cast("string")))).otherwise(F.col("k")))
+    late = F.coalesce(F.col("k") <= table.agg(F.max("k")).scalar(), F.lit(False))
+    checked = rows.withColumn("k", F.when(late, F.raise_error(F.concat(F.lit("key out of order: "), F.col("k").cast("string")))).otherwise(F.col("k")))
     return table.select("k", "v").unionByName(checked.select(F.col("k").cast(table.schema["k"].dataType).alias("k"), "v"))
 
 

@@ -124,7 +124,7 @@ def assign_gaps(rows: DataFrame, seq: str, gaps: DataFrame) -> DataFrame:
     """
     n, first, last = gaps.agg(F.count(F.lit(1)), F.min("__hi"), F.max("__hi")).first()
     if not n:
-        return rows.join(gaps.limit(0), F.lit(False))
+        return rows.where(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in gaps.schema])
     width = max(1, (last - first) // (4 * n))
     first_bin = lambda x: F.floor((F.greatest(x, F.lit(first - 1)) - F.lit(first - 1)) / width)
     grid = gaps.withColumn("__bin", F.explode(F.sequence(first_bin(F.col("__lo")), first_bin(F.col("__hi") - 1))))

@@ -131,9 +131,9 @@ def can_prune_from(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def hot_steps(log: DataFrame, step: int, keep: int) -> DataFrame:
     """(``step``, ``n``, ``tier``): rows a step; the last ``keep`` steps stay hot, earlier ones are to be built into files."""
-    last = log.agg(F.max(step_of(step)).alias("__last"))
+    last = log.agg(F.max(step_of(step))).scalar()
     n = log.groupBy(step_of(step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(last)).select("step", "n", F.when(F.col("step") > F.col("__last") - keep, "hot").otherwise("file").alias("tier"))
+    return n.select("step", "n", F.when(F.col("step") > last - keep, "hot").otherwise("file").alias("tier"))
 
 
 def stats(collated: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def evict(entries: DataFrame, limit: int) -> DataFrame:
 
 def keep_versions(changes: DataFrame, n: int) -> DataFrame:
     """Rows of the last ``n`` versions."""
-    last = changes.agg(F.max("version").alias("__last"))
-    return changes.join(F.broadcast(last)).where(F.col("version") > F.col("__last") - n).drop("__last")
+    return changes.where(F.col("version") > changes.agg(F.max("version")).scalar() - n)
 
 
 def incoherent(cache: DataFrame, base: DataFrame) -> DataFrame:

@@ -594,7 +594,7 @@ def blocks(s, d) -> DataFrame:
 def _(s, d):
     b = blocks(s, d)
     asked = table(s, d, "supplier").select(F.col("s_suppkey").alias("block")).distinct()
-    return asked.join(b, "block", "left").join(F.broadcast(b.agg(F.max("max_tx").alias("last")))).select("block", F.coalesce("max_tx", "last").alias("max_tx"))
+    return asked.join(b, "block", "left").select("block", F.coalesce(F.col("max_tx"), b.agg(F.max("max_tx")).scalar()).alias("max_tx"))
 
 
 @query("n2_min_of_block", f"SELECT block, coalesce(lag(max_tx) OVER (ORDER BY block) + 1, 0) AS min_tx, max_tx FROM {BL}")

@@ -333,9 +333,9 @@ def _(s, d):
 )
 def _(s, d):
     r = table(s, d, "ingest_runs").where("status = 'ok'").select("run_id", "cutoff_at", "rows_read")
-    most = table(s, d, "ingest_runs").agg(F.max("rows_read").alias("most"))
-    r = neighbour(r, keys=[], time="cutoff_at", ties=["run_id"], take={"before": "rows_read"}).join(F.broadcast(most))
-    return r.select("run_id", (F.col("rows_read") - F.col("before")).alias("delta"), F.least(F.lit(100.0) * F.col("rows_read") / F.col("most"), F.lit(99.99)).alias("progress"))
+    most = table(s, d, "ingest_runs").agg(F.max("rows_read")).scalar()
+    r = neighbour(r, keys=[], time="cutoff_at", ties=["run_id"], take={"before": "rows_read"})
+    return r.select("run_id", (F.col("rows_read") - F.col("before")).alias("delta"), F.least(F.lit(100.0) * F.col("rows_read") / most, F.lit(99.99)).alias("progress"))
 
 
 @query("q4_completion_flags", "SELECT series, bool_and(coalesce(frozen, false)) AS complete FROM files_item GROUP BY series")
