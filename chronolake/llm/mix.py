@@ -137,6 +137,6 @@ def mix(
 def reached_shares(mixed: DataFrame, targets: DataFrame, *, source: str = "source", tokens: str = "n_tokens") -> DataFrame:
     """(``source``, ``target_share``, ``max_repeats``, ``records``, ``mixed_tokens``, ``reached_share``): one row a target."""
     got = mixed.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col(tokens) * F.col("uses") + F.col("part_tokens")).alias("mixed_tokens"))
-    all_ = got.agg(F.sum("mixed_tokens").alias("__all"))
+    total = got.agg(F.sum("mixed_tokens")).scalar()
     t = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").na.fill(0, ["records", "mixed_tokens"])
-    return t.join(F.broadcast(all_)).select("source", "target_share", "max_repeats", "records", "mixed_tokens", (F.col("mixed_tokens") / F.col("__all")).alias("reached_share"))
+    return t.select("source", "target_share", "max_repeats", "records", "mixed_tokens", (F.col("mixed_tokens") / total).alias("reached_share"))
