@@ -99,3 +99,9 @@ def reasons(asked: DataFrame, known: DataFrame, key: str, default: str) -> DataF
 def saturating(x: Column, top: str = "99999999999999999999999999999999999999") -> Column:
     """A decimal that keeps its greatest value instead of overflowing (give it a try_ expression)."""
     return F.coalesce(x, F.lit(top).cast("decimal(38,0)"))
+
+
+def add(entries: DataFrame, arrivals: DataFrame, *, key: str, slot: Sequence[str], better: Sequence[str]) -> DataFrame:
+    """The pool after arrivals: those of known keys are ignored, of several for one slot the best stays."""
+    new = arrivals.where(F.col(key).isNotNull()).join(entries.select(key), key, "left_anti").select(*entries.columns)
+    return per_slot(entries.unionByName(new), slot, better).select(*entries.columns)
