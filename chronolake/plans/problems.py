@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.cuckoo import seen_before
 from chronolake.operators.intervals import periods_and_gaps
-from chronolake.operators.ledger import new_or_changed, run_gaps, sequence_of
+from chronolake.operators.ledger import Ledger, new_or_changed, run_gaps, sequence_of
 from chronolake.operators.merkle import history_from_snapshots
 from chronolake.operators.salted import index_entries
 from chronolake.plans.registry import core
-from chronolake.session import table
+from chronolake.session import shared_dir, table
 
 
 @core.query(
@@ -91,6 +93,24 @@ def p2_run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("run_id", F.when(F.col("__rank") > 1, F.col("__lo")).alias("from_us"), F.col("__hi").alias("to_us"))
 
 
+@core.query(
+    "p2_ledger",
+    """
+    SELECT min(change_id) AS lo, max(change_id) + 1 AS hi
+    FROM (SELECT change_id, change_id - row_number() OVER (ORDER BY change_id) AS g FROM change_log) GROUP BY g
+    """,
+)
+def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ledger has processed after two runs: one when only the rows of successful runs had arrived, one with all rows,
+    late ones included."""
+    log = table(spark, sf_dir, "change_log").select("change_id", "k", "v", "arrived_at")
+    ledger = Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    cut = table(spark, sf_dir, "ingest_runs").where("status = 'ok'").agg(F.max("cutoff_at")).scalar()
+    ledger.run(log.where(F.col("arrived_at") <= cut), "change_id", lambda df: df.select("change_id", "k"))
+    ledger.run(log, "change_id", lambda df: df.select("change_id", "k"))
+    return ledger.processed()
+
+
 @core.query(
     "p3_found",
     """
