@@ -323,27 +323,36 @@ def test_rlp_round_trip(item):
     assert rlp.decode(rlp.encode(item)) == item
 
 
-#: Accounts of a public test network's first block, and its root.
-GENESIS = {
-    **dict.fromkeys(
-        "a2a6d93439144ffe4d27c9e088dcd8b783946263 bc11295936aa79d594139de1b2e12629414f3bdb 7cf5b79bfe291a67ab02b393e456ccc4c266f753 aaec86394441f915bce3e6ab399977e9906f3b69 f47cae1cf79ca6758bfc787dbd21e6bdbe7112b8 d7eddb78ed295b3c9629240e8924fb8d8874ddd8 8b7f0977bb4f0fbe7076fa22bc24aca043583f5e e2e2659028143784d557bcec6ff3a0721048880a d9a5179f091d85051d3c982785efd1455cec8699 beef32ca5b9a198d27b4e02f4c70439fe60356cf".split(),
-        0xD3C21BCECCEDA1000000,
-    ),
-    "0000006916a87b82333f4245046623b23794c65c": 0x084595161401484A000000,
-    **dict.fromkeys("b21c33de1fab3fa15499c62b59fe0cc3250020d1 10f5d45854e038071485ac9e402308cf80d2d2fe d7d76c58b3a519e9fa6cc4d22dc017259bc49f1e".split(), 0x52B7D2DCC80CD2E4000000),
-    "799d329e5f583419167cd722962485926e338f4a": 0x0DE0B6B3A7640000,
-}
+#: Accounts of a public test network's first block with their balances, and its root.
+GENESIS = {a: int(b, 16) for a, b in map(str.split, """
+a2a6d93439144ffe4d27c9e088dcd8b783946263 00d3c21bcecceda1000000
+bc11295936aa79d594139de1b2e12629414f3bdb 00d3c21bcecceda1000000
+7cf5b79bfe291a67ab02b393e456ccc4c266f753 00d3c21bcecceda1000000
+aaec86394441f915bce3e6ab399977e9906f3b69 00d3c21bcecceda1000000
+f47cae1cf79ca6758bfc787dbd21e6bdbe7112b8 00d3c21bcecceda1000000
+d7eddb78ed295b3c9629240e8924fb8d8874ddd8 00d3c21bcecceda1000000
+8b7f0977bb4f0fbe7076fa22bc24aca043583f5e 00d3c21bcecceda1000000
+e2e2659028143784d557bcec6ff3a0721048880a 00d3c21bcecceda1000000
+d9a5179f091d85051d3c982785efd1455cec8699 00d3c21bcecceda1000000
+beef32ca5b9a198d27b4e02f4c70439fe60356cf 00d3c21bcecceda1000000
+0000006916a87b82333f4245046623b23794c65c 084595161401484a000000
+b21c33de1fab3fa15499c62b59fe0cc3250020d1 52b7d2dcc80cd2e4000000
+10f5d45854e038071485ac9e402308cf80d2d2fe 52b7d2dcc80cd2e4000000
+d7d76c58b3a519e9fa6cc4d22dc017259bc49f1e 52b7d2dcc80cd2e4000000
+799d329e5f583419167cd722962485926e338f4a 0000000de0b6b3a7640000
+""".strip().splitlines())}
 GENESIS_ROOT = "5eb6e371a698b8d68f665192350ffcecbbbf322916f4b51bd79bb6887da3f494"
 
 
-@pytest.mark.parametrize("depth", [0, 1, 2, 5])
+@pytest.mark.parametrize("depth", [0, 3])
 def test_state_root(spark, depth):
     df = spark.createDataFrame([(bytes.fromhex(a), 0, str(b)) for a, b in GENESIS.items()], "k binary, nonce long, balance string")
     values = df.select("k", commitment.account_value("nonce", "balance").alias("v"))
     assert rows(commitment.state_root(values, depth)) == [(GENESIS_ROOT,)]
-    one = commitment.state_root(values.limit(1), depth).first()[0]
-    assert one == commitment.state_root(values.limit(1)).first()[0] != GENESIS_ROOT
-    assert rows(commitment.state_root(values.limit(0), depth)) == [(commitment.EMPTY_ROOT.hex(),)]
+    if depth:
+        one = values.where(F.hex("k") == "A2A6D93439144FFE4D27C9E088DCD8B783946263")
+        assert commitment.state_root(one, depth).first()[0] == commitment.state_root(one).first()[0] != GENESIS_ROOT
+        assert rows(commitment.state_root(values.limit(0), depth)) == [(commitment.EMPTY_ROOT.hex(),)]
 
 
 def test_codecs(spark):

@@ -140,7 +140,7 @@ def test_intervals_of_numbers(spark):
 SNAP = "row_id long, address string, tx_num long, nonce long, balance decimal(38,0), code_hash string, key string"
 
 
-@pytest.mark.parametrize("rows_in_leaf", [1, 4, 1000])
+@pytest.mark.parametrize("rows_in_leaf", [1, 1000])
 def test_snapshot_history_against_model(spark, rows_in_leaf):
     r = random.Random(rows_in_leaf)
     snaps = [(10 * i, r.random() < 0.7) for i in range(1, 9)]

@@ -29,8 +29,10 @@ def normal(table):
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    got = normal(entry.queries()[name](spark, str(SF)).toArrow())
-    assert got == normal(con.sql(SQL[name]).to_arrow_table())
+    df = entry.queries()[name](spark, str(SF))
+    assert normal(df.toArrow()) == normal(con.sql(SQL[name]).to_arrow_table())
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test data")
