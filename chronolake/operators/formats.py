@@ -13,6 +13,7 @@ from chronolake.operators.ordered import global_rank, running
 
 DICTIONARY_SIZE = 65_536
 MAX_PATTERNS = 1_000_000
+SHORTEST_PATTERN, LONGEST_PATTERN = 5, 128
 
 
 def write_words(words: DataFrame, path: str) -> None:

@@ -351,6 +351,18 @@ def _(s, d):
     return formats.frequent_substrings(table(s, d, "part"), "p_name", 5, 8)
 
 
+@query(
+    "z2_frequent_substrings_whole",
+    """SELECT pattern, n, (n - 1) * length(pattern) AS score FROM (
+      SELECT substr(p_name, CAST(a AS INT), CAST(l AS INT)) AS pattern, count(*) AS n
+      FROM (SELECT p_name, l, unnest(range(1, length(p_name) - l + 2)) AS a FROM (SELECT p_name, unnest(range(5, least(length(p_name), 128) + 1)) AS l FROM part)) GROUP BY 1
+    ) WHERE n >= 2""",
+)
+def _(s, d):
+    """All lengths of Z2; z2_frequent_substrings has those up to 8 only."""
+    return formats.frequent_substrings(table(s, d, "part"), "p_name", formats.SHORTEST_PATTERN, formats.LONGEST_PATTERN)
+
+
 @query("z4_dictionary_scores", "SELECT word, count(*) * length(word) AS score FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word")
 def _(s, d):
     return formats.word_scores(table(s, d, "documents"), "text")
