@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,24 +54,34 @@ class StateTable:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_per_key(stream: DataFrame, keep: int = 64):
+def latest_per_key(stream: DataFrame, *, reach: int | None = None):
     """A stream of (``k``, ``tx``, ``v``): the state of each key after every micro-batch that touched it, v NULL if it has none.
 
-    Rollbacks must carry the key they concern. State is the last ``keep`` changes of a key, as far as a rollback may reach;
-    one that reaches further leaves the oldest change kept.
+    Rollbacks must carry the key they concern. State is all changes of a key that hold, one a time, so a rollback may reach
+    back any way. With ``reach`` no rollback goes to a time more than that below the greatest time of its key so far; changes
+    before that, but for the last of them, are dropped. A rollback that would need a dropped change is an error.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
-        kept = list(zip(times, values))
+        times, values, top, dropped = state.get if state.exists else ([], [], None, None)
+        kept = dict(zip(times, values))
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            tx = int(row.tx)
             if row.direction == "UNWIND":
-                kept = [x for x in kept if x[0] < row.tx]
+                kept = {t: v for t, v in kept.items() if t < tx}
+                if dropped is not None and max(kept, default=dropped) <= dropped:
+                    raise ValueError(f"the rollback of key {key[0]} to {tx} reaches behind the changes kept")
             else:
-                kept.append((int(row.tx), None if pd.isna(row.v) else float(row.v)))
-        kept = sorted(kept, key=lambda x: x[0])[-keep:]
-        state.update(([t for t, _ in kept], [v for _, v in kept]))
-        tx, v = kept[-1] if kept else (None, None)
+                kept[tx] = None if pd.isna(row.v) else float(row.v)
+                top = tx if top is None else max(top, tx)
+        times = sorted(kept)
+        if reach is not None and times:
+            first = max(0, bisect_left(times, top - reach) - 1)
+            if first:
+                dropped = max(times[first - 1], times[first - 1] if dropped is None else dropped)
+            times = times[first:]
+        state.update((times, [kept[t] for t in times], top, dropped))
+        tx, v = (times[-1], kept[times[-1]]) if times else (None, None)
         yield pd.DataFrame({"k": [key[0]], "tx": pd.array([tx], "Int64"), "v": [v]})
 
-    return stream.groupBy("k").applyInPandasWithState(step, "k bigint, tx bigint, v double", "times array<bigint>, vs array<double>", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("k").applyInPandasWithState(step, "k bigint, tx bigint, v double", "times array<bigint>, vs array<double>, top bigint, dropped bigint", "update", GroupStateTimeout.NoTimeout)
