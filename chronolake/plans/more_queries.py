@@ -373,6 +373,12 @@ def _(s, d):
     return formats.build_dictionary(formats.word_scores(table(s, d, "documents"), "text"), 1000)
 
 
+@query("z5_dictionary", "SELECT word, count(*) * length(word) AS score FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word ORDER BY score DESC, word DESC LIMIT 65536")
+def _(s, d):
+    """The dictionary in its full size; z5_top_words has its first 1,000 words only."""
+    return formats.build_dictionary(formats.word_scores(table(s, d, "documents"), "text"))
+
+
 @query("z7_words", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, p_name AS word FROM part")
 def _(s, d):
     return kv.sequence(table(s, d, "part").select("p_partkey", F.col("p_name").alias("word")), "p_partkey").select(F.col("seq").alias("n"), "word")

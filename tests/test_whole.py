@@ -20,3 +20,10 @@ def test_substrings_of_all_lengths(spark, tmp_path):
     assert {len(p) for p, _, _ in want} == set(range(5, 129))
     got = run(spark, "z2_frequent_substrings_whole", tmp_path, part=spark.createDataFrame([(x,) for x in names], "p_name string"))
     assert rows(got) == want
+
+
+def test_dictionary_beyond_1000_words(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(3000)) + " w7 w7"
+    got = run(spark, "z5_dictionary", tmp_path, documents=spark.createDataFrame([(text,), ("w2999  w7",), (None,)], "text string"))
+    n = Counter(text.split()) + Counter(["w2999", "w7"])
+    assert rows(got) == sorted((w, c * len(w)) for w, c in n.items())
