@@ -610,3 +610,46 @@ def _(s, d):
 @query("n4_block_gaps", "SELECT block, before FROM (SELECT block, lag(block) OVER (ORDER BY block) AS before FROM (SELECT DISTINCT start_tx_num AS block FROM files_item WHERE start_tx_num IS NOT NULL)) WHERE block <> before + 1")
 def _(s, d):
     return tp.block_gaps(table(s, d, "files_item").where("start_tx_num is not null").select(F.col("start_tx_num").alias("block")).distinct())
+
+
+# times taken from the data: the queries above have fixed times, which are a smaller and smaller part of larger tables ----
+
+
+def part_of_times(s, d, quarters: int):
+    """So many quarters of the way through the times of the events, as a scalar subquery."""
+    return events(s, d).agg(F.floor((F.max("tx") + 1) * quarters / 4).cast("bigint").alias("at")).scalar()
+
+
+AT_1, AT_2, AT_3 = (f"(SELECT (max(event_id) + 1) * {q} // 4 FROM events)" for q in (1, 2, 3))
+
+
+@query("d2_get_as_of_half", f"SELECT k, arg_max_null(v, tx) AS v FROM {EV} WHERE tx < {AT_2} GROUP BY k")
+def _(s, d):
+    return tp.as_of(events(s, d), part_of_times(s, d, 2))
+
+
+@query("d6_domain_range_half", f"SELECT k, arg_max_null(v, tx) AS v FROM {EV} WHERE tx < {AT_2} AND k >= 20 AND k < 90 GROUP BY k")
+def _(s, d):
+    return tp.TemporalFrame(table(s, d, "events"), "user_id", "event_id", "value").domain_range(part_of_times(s, d, 2), 20, 90)
+
+
+@query("d7_d8_typed_readers_half", f"SELECT user_id AS k, arg_max_null(props, event_id) AS v, CAST(strlen(arg_max_null(props, event_id)) AS INT) AS size FROM events WHERE event_id < {AT_2} GROUP BY user_id")
+def _(s, d):
+    log = table(s, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("tx"), F.col("props").alias("v"))
+    return tp.as_of(log, part_of_times(s, d, 2)).withColumn("size", F.octet_length("v"))
+
+
+@query("h4_history_range_half", f"SELECT k, arg_min_null(prev, tx) AS v FROM {HI} WHERE tx >= {AT_1} AND tx < {AT_3} GROUP BY k")
+def _(s, d):
+    return tp.history_range(tp.history(events(s, d)), part_of_times(s, d, 1), part_of_times(s, d, 3))
+
+
+@query("h12_changed_keys_half", f"SELECT DISTINCT k FROM {EV} WHERE tx >= {AT_1} AND tx < {AT_3}")
+def _(s, d):
+    return ix.changed_keys(events(s, d), part_of_times(s, d, 1), part_of_times(s, d, 3))
+
+
+@query("d9_ranges_by_domain_half", f"SELECT event_type, k, arg_min_null(prev, tx) AS v FROM (SELECT event_type, k, tx, lag(v) OVER (PARTITION BY event_type, k ORDER BY tx) AS prev FROM {EV}) WHERE tx >= {AT_1} AND tx < {AT_3} GROUP BY ALL")
+def _(s, d):
+    log = events(s, d).select(F.struct("event_type", "k").alias("k"), "tx", "v")
+    return tp.history_range(tp.history(log), part_of_times(s, d, 1), part_of_times(s, d, 3)).select("k.event_type", "k.k", "v")

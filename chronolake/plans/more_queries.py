@@ -10,7 +10,7 @@ from chronolake.operators import commitment, etl, formats, kv, overlay, pool, st
 from chronolake.operators import lifecycle as lc
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.ordered import neighbour, running
-from chronolake.plans.core_queries import CU, EV, LAST, OP, _updates, customers, events, index, order_pairs
+from chronolake.plans.core_queries import AT_2, CU, EV, LAST, OP, _updates, customers, events, index, order_pairs, part_of_times
 from chronolake.plans.registry import core
 from chronolake.session import table
 from chronolake.sources import files
@@ -77,6 +77,11 @@ def _(s, d):
     return lc.merge_domain(lc.collate_domain(events(s, d), STEP), 0, 8)
 
 
+@query("s4_merge_domain_half", f"SELECT k, arg_max_null(v, step) AS v FROM {CO} WHERE step < {AT_2} / 1000.0 GROUP BY k HAVING arg_max_null(v, step) IS NOT NULL")
+def _(s, d):
+    return lc.merge_domain(lc.collate_domain(events(s, d), STEP), 0, part_of_times(s, d, 2) / STEP)
+
+
 @query("s4_merge_index", f"SELECT step // 4 AS span, k, CAST(sum(n) AS BIGINT) AS n, min(first_tx) AS first_tx, max(last_tx) AS last_tx FROM {CI} GROUP BY 1, 2")
 def _(s, d):
     return lc.rollup_steps(lc.collate_index(events(s, d), STEP), 2)
@@ -117,6 +122,13 @@ def _(s, d):
     return latest(lc.unwind(events(s, d), 7000))
 
 
+@query("a3_unwind_half", f"SELECT k, arg_max_null(v, tx) AS v FROM {EV} WHERE tx < {AT_2} GROUP BY k")
+def _(s, d):
+    from chronolake.operators.temporal import latest
+
+    return latest(lc.unwind(events(s, d), part_of_times(s, d, 2)))
+
+
 @query("a4_can_prune_from", "SELECT least((SELECT min(event_id) FROM events), (SELECT min(o_orderkey) FROM orders)) AS first_tx")
 def _(s, d):
     return lc.can_prune_from(events(s, d), order_pairs(s, d).withColumnRenamed("v", "tx"))

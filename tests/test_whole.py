@@ -27,3 +27,9 @@ def test_dictionary_beyond_1000_words(spark, tmp_path):
     got = run(spark, "z5_dictionary", tmp_path, documents=spark.createDataFrame([(text,), ("w2999  w7",), (None,)], "text string"))
     n = Counter(text.split()) + Counter(["w2999", "w7"])
     assert rows(got) == sorted((w, c * len(w)) for w, c in n.items())
+
+
+def test_as_of_half_of_the_times(spark, tmp_path):
+    log = spark.range(40_000).selectExpr("id AS event_id", "id % 20000 AS user_id", "CAST(id AS DOUBLE) AS value", "'click' AS event_type")
+    got = run(spark, "d2_get_as_of_half", tmp_path, events=log)
+    assert got.count() == 20_000 and entry.queries()["d2_get_as_of"](spark, str(tmp_path)).count() == 5000
