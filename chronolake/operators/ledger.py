@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,18 +99,55 @@ class Ledger:
             raise RuntimeError(f"version {version} was committed by another run")
 
 
-def run_gaps(runs: DataFrame, *, run_id: str, cutoff: str, ok: Column) -> DataFrame:
+def subtract(lo: int, hi: int, done: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [lo, hi) in none of the disjoint, sorted intervals ``done``."""
+    gaps = []
+    for a, b in done[max(0, bisect_right(done, (lo, lo)) - 1) :]:
+        if a >= hi:
+            break
+        if lo < a:
+            gaps.append((lo, a))
+        lo = max(lo, b)
+    return gaps + ([(lo, hi)] if lo < hi else [])
+
+
+def insert(lo: int, hi: int, done: list[tuple[int, int]]) -> None:
+    """Merges [lo, hi) into the disjoint, sorted intervals ``done``, in place; intervals that touch become one."""
+    first = max(0, bisect_right(done, (lo, lo)) - 1)
+    first += first < len(done) and done[first][1] < lo
+    last = first
+    while last < len(done) and done[last][0] <= hi:
+        lo, hi, last = min(lo, done[last][0]), max(hi, done[last][1]), last + 1
+    done[first:last] = [(lo, hi)]
+
+
+def run_gaps(runs: DataFrame, *, run_id: str, cutoff: str, ok: Column, since: str | None = None) -> DataFrame:
     """(``run_id``, ``__rank``, ``__lo``, ``__hi``): what each successful run has to process of the sequence axis, half-open.
 
-    Available to a run is everything below its cutoff (inclusive, so ``__hi`` is one more); processed is the union of what
-    earlier runs had, one interval from the beginning. Their difference is empty for a run whose cutoff isn't new; such
-    runs and runs without a cutoff have no row. ``runs`` has one row a run and is sorted in one task.
+    Available to a run is everything below its cutoff (inclusive, so ``__hi`` is one more), from ``since`` on where that is
+    given and not NULL. The runs are replayed in order of their cutoffs: each subtracts the intervals processed so far and
+    adds what it took. A run has a row for each gap; one that finds none, or has no cutoff, has no row. ``runs`` has one row
+    a run and is replayed in one task.
     """
-    order = W.orderBy("__hi", run_id)
-    r = runs.where(ok & F.col(cutoff).isNotNull()).select(run_id, (sequence_of(F.col(cutoff)) + 1).alias("__hi"))
-    before = F.max("__hi").over(order.rowsBetween(W.unboundedPreceding, -1))
-    r = r.select(run_id, F.row_number().over(order).alias("__rank"), F.coalesce(before, F.lit(LOWEST)).alias("__lo"), "__hi")
-    return r.where("__lo < __hi")
+    begins = F.coalesce(sequence_of(F.col(since)), F.lit(LOWEST)) if since else F.lit(LOWEST)
+    r = runs.where(ok & F.col(cutoff).isNotNull()).select(run_id, begins.alias("__lo"), (sequence_of(F.col(cutoff)) + 1).alias("__hi"))
+    kind = r.schema[run_id].dataType.simpleString()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[int, int]] = []
+        rank = 0
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for run, lo, hi in zip(*[c.to_pylist() for c in batch.columns]):
+                rank += 1
+                for gap in subtract(lo, hi, done):
+                    for column, x in zip(out, (run, rank, *gap)):
+                        column.append(x)
+                if lo < hi:
+                    insert(lo, hi, done)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], [run_id, "__rank", "__lo", "__hi"])
+
+    return r.coalesce(1).sortWithinPartitions("__hi", run_id).mapInArrow(replay, f"`{run_id}` {kind}, __rank int, __lo bigint, __hi bigint")
 
 
 def sequence_of(at: Column) -> Column:
