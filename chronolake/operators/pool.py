@@ -61,18 +61,28 @@ def dense_ids(entries: DataFrame, owner: str) -> DataFrame:
     return global_rank(entries.select(owner).where(F.col(owner).isNotNull()).distinct(), order=owner, name="id", base=1)
 
 
-def pick_greedily(entries: DataFrame, *, order: Sequence[str], cost: str, budget: int, most: int, chunk: int = 10_000) -> DataFrame:
-    """Entries taken one by one in descending ``order`` (whole numbers, unique together) while their cost fits into what is
-    left of the budget, at most ``most``; an entry that doesn't fit costs nothing. Costs must be positive.
+def pick_greedily(
+    entries: DataFrame, *, order: Sequence[str], cost: str | Sequence[str], budget: int | Sequence[int], most: int, skip: DataFrame | None = None, key: str | None = None, chunk: int = 10_000
+) -> DataFrame:
+    """Entries taken one by one in descending ``order`` (whole numbers, unique together) while each of their costs fits into
+    what is left of its budget, at most ``most``; an entry that doesn't fit costs nothing. The first cost must be positive,
+    the others at least 0. Entries whose ``key`` is in ``skip`` are left out, those with a NULL key aren't.
 
     What one entry leaves decides on the next, so no sums over a window tell it. Chunks of the best entries that still fit
     are read one after another; each chunk starts behind the last and costs above what is left aren't read. There are at
-    most budget / smallest cost entries to take.
+    most first budget / smallest first cost entries to take.
     """
-    spark = entries.sparkSession
-    taken, left, after = [], budget, None
-    while len(taken) < most and left > 0:
-        rest = entries.where((F.col(cost) <= left) & (F.col(cost) > 0))
+    costs, budgets = ([cost], [budget]) if isinstance(cost, str) else (list(cost), list(budget))
+    if len(costs) != len(budgets) or (skip is None) != (key is None):
+        raise ValueError("each cost needs a budget, and skip a key")
+    spark, schema = entries.sparkSession, entries.schema
+    if skip is not None:
+        entries = entries.join(skip.select(key), key, "left_anti").select(*entries.columns)
+    taken, left, after = [], budgets, None
+    while len(taken) < most and left[0] > 0:
+        rest = entries.where(F.col(costs[0]) > 0)
+        for i, c in enumerate(costs):
+            rest = rest.where((F.col(c) <= left[i]) & (F.col(c) >= 0))
         if after is not None:
             behind, equal = F.lit(False), F.lit(True)
             for c, x in zip(order, after):
@@ -83,12 +93,12 @@ def pick_greedily(entries: DataFrame, *, order: Sequence[str], cost: str, budget
             break
         for row in rows:
             after = tuple(row[c] for c in order)
-            if row[cost] <= left:
+            if all(row[c] <= x for c, x in zip(costs, left)):
                 taken.append(row)
-                left -= row[cost]
+                left = [x - row[c] for c, x in zip(costs, left)]
                 if len(taken) == most:
                     break
-    return spark.createDataFrame(taken, entries.schema)
+    return spark.createDataFrame(taken, schema)
 
 
 def reasons(asked: DataFrame, known: DataFrame, key: str, default: str) -> DataFrame:

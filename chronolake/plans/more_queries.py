@@ -460,11 +460,16 @@ def _(s, d):
     return txs(s, d).where("block_added is not null").groupBy("block_added").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sender_id").alias("senders"), F.max("nonce").alias("max_nonce"))
 
 
+GAS_PER_BLOB, BLOBS_PER_BLOCK = 131_072, 6
+
+
 @query("pool4_best", None)
 def _(s, d):
-    """The most generous transactions that fit into a block, one after another."""
-    one = pool.per_slot(txs(s, d).select("sender_id", "nonce", "tip", "arrival_id", "gas"), ["sender_id", "nonce"], ["tip", "arrival_id"])
-    return pool.pick_greedily(one, order=["tip", "arrival_id"], cost="gas", budget=30_000_000, most=10_000).withColumn("tip", F.col("tip").cast("string"))
+    """The most generous transactions that fit into a block, one after another: their gas, and the gas of their blobs."""
+    blobs = (F.coalesce(F.array_size("blob_hashes"), F.lit(0)) * GAS_PER_BLOB).alias("blob_gas")
+    one = pool.per_slot(txs(s, d).select("sender_id", "nonce", "tip", "arrival_id", "gas", blobs), ["sender_id", "nonce"], ["tip", "arrival_id"])
+    best = pool.pick_greedily(one, order=["tip", "arrival_id"], cost=["gas", "blob_gas"], budget=[30_000_000, BLOBS_PER_BLOCK * GAS_PER_BLOB], most=10_000)
+    return best.drop("blob_gas").withColumn("tip", F.col("tip").cast("string"))
 
 
 @query("pool5_order", "SELECT arrival_id, CAST(tip AS VARCHAR) AS tip, nonce FROM pool_txs ORDER BY pool_txs.tip DESC, nonce, arrival_id LIMIT 500")
