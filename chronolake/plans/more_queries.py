@@ -661,9 +661,12 @@ def _(s, d):
 
 @query("t1_state_root")
 def _(s, d):
-    """The root of the accounts of the last snapshot."""
-    a = table(s, d, "account_snapshots").where("tx_num is not null and balance is not null")
-    last = a.groupBy(F.lower("address").alias("address")).agg(F.max(F.struct("tx_num", "row_id", "nonce", "balance")).alias("x"))
+    """The root of the accounts after the last snapshot: those of the last complete one, as incomplete ones since then have
+    changed them. The latest row of an account counts; if that has no balance, or the account isn't there, it has no leaf."""
+    runs = table(s, d, "snapshot_runs").where("tx_num is not null")
+    since = runs.where("complete").agg(F.coalesce(F.max("tx_num"), F.lit(-(2**63)))).scalar()
+    a = table(s, d, "account_snapshots").where("address is not null").where(F.col("tx_num") >= since).join(runs.select("tx_num"), "tx_num", "left_semi")
+    last = a.groupBy(F.lower("address").alias("address")).agg(F.max(F.struct("tx_num", "row_id", "nonce", "balance")).alias("x")).where("x.balance is not null")
     return commitment.state_root(last.select(codec.hex_decode(F.col("address")).alias("k"), commitment.account_value("x.nonce", F.col("x.balance").cast("string")).alias("v")))
 
 
