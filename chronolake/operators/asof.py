@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronolake.plans.skew import HOT_ROWS, first_shard, spread_shard, time_bounds
+from chronolake.plans.skew import first_shard, spread_shard, time_bounds
 
 
 def as_known_at(
@@ -22,7 +22,7 @@ def as_known_at(
     payload: Sequence[str] = (),
     prefix: str = "",
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Each event with the version of its key that was valid and known at the event's time.
 
@@ -50,29 +50,31 @@ def as_known_at(
     e = e.where(F.col("__k").isNotNull() & F.col("__t").isNotNull())
     bounds = time_bounds(v.select("__k", "__t").union(e.select("__k", "__t")), "__k", "__t", hot_rows)
     no_event, no_version = F.lit(None).cast(e.schema["__ev"].dataType), F.lit(None).cast(v.schema["__ver"].dataType)
+    v = v.select("__k", "__t", F.lit(0).alias("__kind"), "__ver", no_event.alias("__ev"))
+    rows = v.union(e.select("__k", "__t", F.lit(1).alias("__kind"), no_version.alias("__ver"), "__ev"))
+    carry = None
     if bounds is None:
-        v, e = v.withColumn("__shard", F.lit(0)), e.withColumn("__shard", F.lit(0))
-        carry = None
+        rows = rows.withColumn("__shard", F.lit(0))
     else:
-        b = F.broadcast(bounds)
-        v = v.join(b, "__k", "left").withColumn("__shard", first_shard(F.col("__bounds"), F.col("__t")))
-        v = v.groupBy("__k", "__shard", "__t", F.col("__bounds").isNotNull().alias("__hot")).agg(F.max("__ver").alias("__ver"))
-        e = e.join(b, "__k", "left").withColumn("__shard", spread_shard(F.col("__bounds"), F.col("__t"), F.xxhash64("__ev")))
-        shards = bounds.select("__k", F.explode(F.sequence(F.lit(0), F.size("__bounds"))).alias("__shard"))
-        best = v.where("__hot").groupBy("__k", "__shard").agg(F.max("__ver").alias("__ver"))
-        earlier = W.partitionBy("__k").orderBy("__shard").rowsBetween(W.unboundedPreceding, -1)
-        carry = (
-            shards.join(best, ["__k", "__shard"], "left")
-            .select("__k", "__shard", F.max("__ver").over(earlier).alias("__ver"))
-            .where("__ver is not null")
-            .select("__k", "__shard", F.lit(None).cast(v.schema["__t"].dataType).alias("__t"), F.lit(0).alias("__kind"), "__ver", no_event.alias("__ev"))
-        )
-    rows = v.select("__k", "__shard", "__t", F.lit(0).alias("__kind"), "__ver", no_event.alias("__ev"))
-    rows = rows.union(e.select("__k", "__shard", "__t", F.lit(1).alias("__kind"), no_version.alias("__ver"), "__ev"))
-    if carry is not None:
-        rows = rows.union(carry)
+        # a version goes to the first shard of its time, events of one time to all shards of it
+        rows = rows.join(F.broadcast(bounds.frame), "__k", "left")
+        salt = F.when(F.col("__kind") == 1, F.xxhash64("__ev"))
+        low = first_shard(F.col("__bounds"), F.col("__t"), bounds.longest)
+        at = F.when(F.col("__kind") == 0, low).otherwise(spread_shard(F.col("__bounds"), F.col("__t"), salt, bounds.longest))
+        rows = rows.select("__k", F.when(F.col("__bounds").isNull(), 0).otherwise(at).alias("__shard"), F.coalesce(F.size("__bounds"), F.lit(0)).alias("__last"), "__t", "__kind", "__ver", "__ev")
+        rows = rows.repartition("__k", "__shard")
+        # Both readers of this shuffle take all of its columns, so it is made once: the whole row is compared behind "__ver",
+        # and the condition can't be moved below the shuffle as it isn't deterministic.
+        mine = F.when(F.monotonically_increasing_id() >= 0, (F.col("__last") > 0) & (F.col("__kind") == 0))
+        best = rows.where(mine).groupBy("__k", "__shard").agg(F.max(F.struct("__ver", "__t", "__ev", "__last", "__kind")).alias("__x"))
+        nxt = W.partitionBy("__k").orderBy("__shard")
+        best = best.select("__k", "__shard", F.max("__x.__ver").over(nxt).alias("__carry"), F.coalesce(F.lead("__shard").over(nxt) , F.col("__x.__last") + 1).alias("__until"))
+        # what is known after a shard is carried into every later one up to the next shard with versions
+        carry = best.select("__k", F.explode(F.sequence(F.col("__shard") + 1, F.col("__until"))).alias("__shard"), "__carry")
     sofar = W.partitionBy("__k", "__shard").orderBy(F.col("__t").asc_nulls_first(), "__kind").rowsBetween(W.unboundedPreceding, 0)
     found = rows.withColumn("__best", F.max("__ver").over(sofar)).where("__kind = 1")
+    if carry is not None:
+        found = found.join(F.broadcast(carry), ["__k", "__shard"], "left").withColumn("__best", F.greatest("__best", "__carry"))
     if how == "left":
         found = found.select("__ev", "__best").union(lost.select("__ev", no_version))
     else:

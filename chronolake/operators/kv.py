@@ -55,14 +55,12 @@ def seek_both_exact(table: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def cursor(table: DataFrame) -> DataFrame:
     """Each entry with its next and previous one: (``k``, ``v``, ``next_k``, ``next_v``, ``prev_k``, ``prev_v``)."""
-    ahead = neighbour(table.select("k", "v"), keys=[], time="k", ties=["v"], take={"prev_k": "k", "prev_v": "v"})
-    return neighbour(ahead, keys=[], time="k", ties=["v"], take={"next_k": "k", "next_v": "v"}, forward=False)
+    return neighbour(table.select("k", "v"), keys=[], time="k", ties=["v"], take={"prev_k": "k", "prev_v": "v"}, follow={"next_k": "k", "next_v": "v"})
 
 
 def dup_cursor(table: DataFrame) -> DataFrame:
     """Each entry with the next and previous value of the same key."""
-    ahead = neighbour(table.select("k", "v"), keys=["k"], time="v", take={"prev_v": "v"})
-    return neighbour(ahead, keys=["k"], time="v", take={"next_v": "v"}, forward=False)
+    return neighbour(table.select("k", "v"), keys=["k"], time="v", take={"prev_v": "v"}, follow={"next_v": "v"})
 
 
 def dup_summary(table: DataFrame) -> DataFrame:

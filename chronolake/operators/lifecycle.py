@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.operators.ordered import neighbour, running
+from chronolake.operators.ordered import running
 
 MERGED_STEPS = 32
 
@@ -77,9 +77,8 @@ def not_covered(files: DataFrame) -> DataFrame:
 
     Files in order of start, longest first: one is contained if an earlier one ends at or after it."""
     once = files.select("name", "start_step", "end_step").distinct().withColumn("__len", F.col("start_step") - F.col("end_step")).withColumn("__neg", -F.col("end_step"))
-    r = running(once, keys=["name"], time="start_step", ties=["__len"], mins={"__most": "__neg"})
-    # the running minimum of negated ends up to the row before is the greatest end before
-    r = neighbour(r, keys=["name"], time="start_step", ties=["__len"], take={"__before": "__most"})
+    # the least negated end up to the row before is the greatest end before
+    r = running(once, keys=["name"], time="start_step", ties=["__len"], mins={"__before": "__neg"}, before=True)
     return r.where(F.col("__before").isNull() | (F.col("__neg") < F.col("__before"))).select("name", "start_step", "end_step")
 
 

@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.ordered import neighbour
-from chronolake.plans.skew import HOT_ROWS
 
 
-def history(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def history(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """(``k``, ``tx``, ``v``, ``prev``): each change with the value before it."""
     return neighbour(log.select("k", "tx", "v"), keys=["k"], time="tx", take={"prev": "v"}, hot_rows=hot_rows)
 
 
-def changes_only(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def changes_only(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """The log without rows that change nothing: equal to the value before, or deletions of what isn't there."""
     return history(log, hot_rows).where(~F.col("v").eqNullSafe(F.col("prev"))).select("k", "tx", "v", "prev")
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators.asof import as_known_at
-from chronolake.operators.cuckoo import audit, seen_before
+from chronolake.operators.cuckoo import ask_filters, audit, seen_before, update_filters
 from chronolake.operators.intervals import periods_and_gaps
 from chronolake.operators.ledger import Ledger, new_or_changed, run_gaps, sequence_of
 from chronolake.operators.merkle import history_from_snapshots
 from chronolake.operators.salted import index_entries
 from chronolake.plans.registry import core
-from chronolake.session import shared_dir, table
+from chronolake.session import materialize, shared_dir, table
 
 
 @core.query(
@@ -194,3 +194,33 @@ def p6_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals, true repeats, wrong answers of the filters and their share. A filter errs on the side of "seen", but for keys
     with very many rows: they are spread over several filters, and ``missed`` counts the repeats called new there."""
     return audit(seen_before(table(spark, sf_dir, "pool_txs"), key="id_hash", order="arrival_id"))
+
+
+@core.query(
+    "p6_repeats",
+    "SELECT count(*) AS arrivals, count(*) FILTER (WHERE again) AS repeats FROM (SELECT arrival_id > min(arrival_id) OVER (PARTITION BY id_hash) AS again FROM pool_txs WHERE id_hash IS NOT NULL)",
+)
+def p6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p6_wrong_answers says of the arrivals themselves."""
+    return p6_wrong_answers(spark, sf_dir).select("arrivals", "repeats")
+
+
+@core.query(
+    "p6_forget",
+    """
+    WITH f AS (SELECT DISTINCT id_hash FROM pool_txs WHERE arrival_id % 2 = 0 AND id_hash IS NOT NULL),
+    g AS (SELECT id_hash FROM f WHERE id_hash NOT IN (SELECT id_hash FROM pool_txs WHERE block_added IS NOT NULL AND id_hash IS NOT NULL))
+    SELECT arrival_id FROM pool_txs WHERE arrival_id % 2 = 1 AND id_hash IN (SELECT id_hash FROM g)
+    """,
+)
+def p6_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters kept over three runs: keys of every second arrival are added, those of mined transactions taken out, and the
+    other arrivals asked. Keys that the filters call seen are checked against the keys that were left in."""
+    txs = table(spark, sf_dir, "pool_txs").select("arrival_id", "id_hash", "block_added")
+    first, second = txs.where("arrival_id % 2 = 0 and id_hash is not null"), txs.where("arrival_id % 2 = 1")
+    mined = first.select("id_hash").join(txs.where("block_added is not null").select("id_hash"), "id_hash", "left_semi")
+    kept = materialize(update_filters(None, first, key="id_hash"), "filters")
+    kept = materialize(update_filters(kept, mined, key="id_hash", remove=True), "filters")
+    maybe = ask_filters(kept, second, key="id_hash")
+    known = first.select("id_hash").join(mined, "id_hash", "left_anti")
+    return maybe.join(known, "id_hash", "left_semi").select("arrival_id")

@@ -1,48 +1,156 @@
-"""Finding heavy keys and cutting them into shards of bounded size.
+"""Finding heavy keys from a sample of the scan and cutting them into shards of bounded size.
 
-A key is heavy if it has more than ``max(hot_rows, total / MAX_HOT)`` rows, so fewer than MAX_HOT keys can be: what is
-collected and broadcast about them is bounded whatever the data.
+A key is heavy if it would hold more rows than a task should take: a quarter of what a core gets if all rows were spread
+evenly, between MIN_ROWS and MAX_ROWS. Heavy keys and the times that cut them come from one look at about a tenth of the
+pieces of the scan, at most SAMPLE_ROWS rows of them. Results never depend on the sample: where it misleads, shards are
+of less equal size.
 """
 
 from __future__ import annotations
 
-import math
+import random
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1000
-MAX_SHARDS = 1024
-HOT_ROWS = 250_000
+MIN_ROWS, MAX_ROWS = 10_000, 1_000_000
+SAMPLE_ROWS = 1 << 21
+#: Sampled rows a shard must have, so that its bounds are worth something.
+LEAST_SEEN = 10
+#: Bytes below which a frame isn't worth a look: no key of it can be heavy.
+SMALL = 1 << 19
 
 
-def heavy_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict:
-    """{key: rows} of the fewer than MAX_HOT heavy keys. NULL is never heavy."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
-    least = max(hot_rows, (total or 0) / MAX_HOT)
-    if not most or most <= least:
-        return {}
-    return {r[0]: r["__n"] for r in counts.where(F.col("__n") > least).collect()}
+@dataclass
+class Bounds:
+    """Heavy keys. ``frame``: (key, ``__bounds``: ascending times that cut it into shards); ``rows``: what each holds, about."""
 
+    frame: DataFrame
+    rows: dict
+    longest: int
 
-def time_bounds(df: DataFrame, key: str, time: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """(``key``, ``__bounds``) of heavy keys: ascending values of ``time`` that cut a key's rows into shards of about
-    ``hot_rows``. A value that many rows share is repeated. None without heavy keys."""
-    hot = heavy_keys(df, key, hot_rows)
-    if not hot:
-        return None
-    n = min(MAX_SHARDS, max(2, math.ceil(max(hot.values()) / hot_rows)))
-    spark = df.sparkSession
-    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], df.select(key).schema))
-    at = F.percentile_approx(time, [i / n for i in range(1, n)], 10_000).alias("__bounds")
-    found = df.where(F.col(time).isNotNull()).join(keys, key).groupBy(key).agg(at)
-    return spark.createDataFrame(found.collect(), found.schema)  # fewer than MAX_HOT rows of MAX_SHARDS numbers
 
+def plan_bytes(df: DataFrame) -> int:
+    """What Spark expects a frame to take, from file sizes and columns; nothing is read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _reservoir(most: int, columns: list[str]):
+    """One row a piece: how many rows it has and ``most`` of them, drawn evenly."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, n, held, luck = np.random.default_rng(7), 0, None, np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n += batch.num_rows
+            new = pa.table(batch.columns, columns)
+            held = new if held is None else pa.concat_tables([held, new])
+            luck = np.concatenate([luck, rng.random(batch.num_rows)])
+            if len(luck) > 2 * most:
+                keep = np.sort(np.argpartition(luck, most)[:most])
+                held, luck = held.take(pa.array(keep)).combine_chunks(), luck[keep]
+        if held is None:
+            return
+        if len(luck) > most:
+            held = held.take(pa.array(np.sort(np.argpartition(luck, most)[:most])))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held.schema) as out:
+            out.write_table(held)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n", "rows"])
 
-def _search(bounds: Column, value: Column, before) -> Column:
+    return draw
+
+
+def sample_pieces(df: DataFrame, *, rows: int = SAMPLE_ROWS) -> tuple[pa.Table | None, np.ndarray, float]:
+    """Rows of about a tenth of the pieces of ``df``'s scan, drawn at random, what each stands for, and the rows ``df`` has, about.
+
+    Other pieces aren't read. More are taken where these hold next to nothing.
+    """
+    spark = df.sparkSession
+    pieces = df.rdd.getNumPartitions()
+    if not pieces:
+        return None, np.zeros(0), 0.0
+    order = random.Random(11).sample(range(pieces), pieces)
+    step = max(1, pieces // 10)
+    drawn = df.mapInArrow(_reservoir(max(1000, rows // step), df.columns), "n bigint, rows binary").rdd
+    seen, found, taken = 0, [], 0
+    while taken < pieces and seen < 1000:
+        found += spark.sparkContext.runJob(drawn, lambda it: [(r[0], bytes(r[1])) for r in it], order[taken : taken + step])
+        taken = min(pieces, taken + step)
+        seen = sum(n for n, _ in found)
+        step *= 2
+    if not found:
+        return None, np.zeros(0), 0.0
+    tables = [pa.ipc.open_stream(b).read_all() for _, b in found]
+    share = pieces / taken
+    weight = np.concatenate([np.full(t.num_rows, share * n / t.num_rows) for (n, _), t in zip(found, tables)])
+    return pa.concat_tables(tables), weight, share * seen
+
+
+def task_rows(df: DataFrame, total: float) -> int:
+    """How many rows of one key a task should take at most."""
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return int(min(MAX_ROWS, max(MIN_ROWS, total / (4 * cores))))
+
+
+def time_bounds(df: DataFrame, key: str, time: str | Sequence[str], hot_rows: int | None = None) -> Bounds | None:
+    """Heavy keys of ``df`` and the values of ``time`` that cut the rows of each into shards of about ``hot_rows`` (by default
+    what a task should take). A value that many rows share is repeated. Several columns give bounds that are structs of them.
+    None without heavy keys; NULL is none.
+
+    A frame that Spark expects to take no more than SMALL bytes has no heavy keys and isn't looked at.
+    """
+    return _look(df, key, time, hot_rows)[1]
+
+
+def _look(df: DataFrame, key: str, time: str | Sequence[str], hot_rows: int | None) -> tuple[float, Bounds | None]:
+    if hot_rows is None and plan_bytes(df) <= SMALL:
+        return SMALL / 8, None
+    names = [time] if isinstance(time, str) else list(time)
+    by = [f"t{i}" for i in range(len(names))]
+    found, weight, total = sample_pieces(df.select(F.col(key).alias("k"), *[F.col(c).alias(t) for c, t in zip(names, by)]))
+    if found is None:
+        return 0.0, None
+    most = hot_rows or task_rows(df, total)
+    codes, times = found.column("k").combine_chunks().dictionary_encode(), found.select(by)
+    code = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = np.bincount(code + 1, weight, len(codes.dictionary) + 1)[1:]
+    counts = np.bincount(code + 1, minlength=len(codes.dictionary) + 1)[1:]
+    heavy = np.flatnonzero((weights > most) & (counts >= 2 * LEAST_SEEN))
+    if not len(heavy):
+        return total, None
+    out, rows = [], {}
+    for c, value in zip(heavy, codes.dictionary.take(pa.array(heavy)).to_pylist()):
+        at = np.flatnonzero(code == c)
+        values = times.take(pa.array(at))
+        shards = int(max(2, min(-(-weights[c] // most), counts[c] // LEAST_SEEN)))
+        by_time = pc.sort_indices(values, sort_keys=[(t, "ascending") for t in by], null_placement="at_start").to_numpy()
+        upto = np.cumsum(weight[at][by_time])
+        cut = by_time[np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards), len(at) - 1)]
+        bounds = values.take(pa.array(cut)).to_pylist()
+        out.append((value, [b["t0"] for b in bounds if b["t0"] is not None] if isinstance(time, str) else [tuple(b.values()) for b in bounds]))
+        rows[value] = float(weights[c])
+    kinds = [df.schema[c].dataType.simpleString() for c in names]
+    bound = kinds[0] if isinstance(time, str) else f"struct<{','.join(f'{t}:{k}' for t, k in zip(by, kinds))}>"
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, __bounds array<{bound}>"
+    return total, Bounds(df.sparkSession.createDataFrame(out, schema), rows, max(len(b) for _, b in out))
+
+
+def heavy_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> tuple[dict, float]:
+    """{key: about how many rows} of the heavy keys, and about how many rows ``df`` has, at most."""
+    total, found = _look(df.select(key, F.lit(0).alias("__t")), key, "__t", hot_rows)
+    return found.rows if found else {}, total
+
+
+def _search(bounds: Column, value: Column, before, longest: int) -> Column:
     """How many leading elements of ``bounds`` satisfy ``before``: a binary search."""
-    steps = F.array(*[F.lit(MAX_SHARDS >> i) for i in range(MAX_SHARDS.bit_length())])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(longest.bit_length()))])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -50,26 +158,27 @@ def _search(bounds: Column, value: Column, before) -> Column:
     )
 
 
-def first_shard(bounds: Column, value: Column) -> Column:
+def first_shard(bounds: Column, value: Column, longest: int) -> Column:
     """The shard of ``value``, the first one if a repeated bound spreads it over several; 0 for light keys."""
-    low = _search(bounds, value, lambda b, v: b < v)
-    high = _search(bounds, value, lambda b, v: b <= v)
-    return F.when(bounds.isNull(), 0).otherwise(F.when(high > low, low + 1).otherwise(low)).cast("int")
+    low = _search(bounds, value, lambda b, v: b < v, longest)
+    again = F.coalesce(F.get(bounds, low) == value, F.lit(False))
+    return F.when(bounds.isNull(), 0).otherwise(F.when(again, low + 1).otherwise(low)).cast("int")
 
 
-def spread_shard(bounds: Column, value: Column, salt: Column) -> Column:
+def spread_shard(bounds: Column, value: Column, salt: Column, longest: int) -> Column:
     """Like first_shard, but rows of one repeated bound are spread over all of its shards by ``salt``."""
-    low = _search(bounds, value, lambda b, v: b < v)
-    high = _search(bounds, value, lambda b, v: b <= v)
+    low = _search(bounds, value, lambda b, v: b < v, longest)
+    high = _search(bounds, value, lambda b, v: b <= v, longest)
     return F.when(bounds.isNull(), 0).otherwise(F.when(high > low, low + 1 + F.pmod(salt, high - low)).otherwise(low)).cast("int")
 
 
-def with_shards(df: DataFrame, keys: list[str], time: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with ``__shard`` and ``__hot``, and whether any key is heavy. Shards of a key follow each other in ``time``
-    (numbers, dates or timestamps; NULLs come first). Without ``keys`` the whole table is one key."""
+def with_shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` with ``__shard`` and ``__hot``, and whether any key is heavy. Shards of a key follow each other in ``order``
+    (NULLs come first), so many rows at one time are cut by what orders them there. Without ``keys`` the whole table is one key."""
     rows = df.withColumn("__kh", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
-    bounds = time_bounds(rows.select("__kh", time), "__kh", time, hot_rows)
+    bounds = time_bounds(rows.select("__kh", *order), "__kh", list(order), hot_rows)
     if bounds is None:
         return rows.withColumn("__shard", F.lit(0)).withColumn("__hot", F.lit(False)).drop("__kh"), False
-    rows = rows.join(F.broadcast(bounds), "__kh", "left").withColumn("__shard", first_shard(F.col("__bounds"), F.col(time)))
+    value = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(order)])
+    rows = rows.join(F.broadcast(bounds.frame), "__kh", "left").withColumn("__shard", first_shard(F.col("__bounds"), value, bounds.longest))
     return rows.withColumn("__hot", F.col("__bounds").isNotNull()).drop("__bounds", "__kh"), True

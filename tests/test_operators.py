@@ -37,7 +37,7 @@ def test_neighbours_and_running(spark, hot_rows):
         want_rank.append((d[2], j))
     kw = dict(time="t", ties=["i"], hot_rows=hot_rows)
     assert rows(neighbour(df, keys=["k"], take={"p": "i"}, **kw).select("i", "p")) == sorted(want_prev)
-    assert rows(neighbour(df, keys=["k"], take={"n": "i"}, forward=False, **kw).select("i", "n")) == sorted(want_next)
+    assert rows(neighbour(df, keys=["k"], follow={"n": "i"}, **kw).select("i", "n")) == sorted(want_next)
     assert rows(running(df, keys=["k"], sums={"s": "v"}, mins={"m": "v"}, **kw).select("i", "s", "m", "rank")) == sorted(want_sum)
     assert rows(global_rank(df, order="t", ties=["i"], hot_rows=hot_rows).select("i", "rank")) == sorted(want_rank)
     assert neighbour(df.limit(0), keys=[], take={"p": "i"}, **kw).count() == 0

@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from chronolake.operators.asof import as_known_at
-from chronolake.operators.cuckoo import CuckooFilter, flag_arrivals, seen_before
+from chronolake.operators.cuckoo import CuckooFilter, ask_filters, seen_before, update_filters
 from chronolake.operators.intervals import periods_and_gaps
 from chronolake.operators.ledger import Ledger, assign_gaps, merge_intervals, new_or_changed, pending, run_gaps, sequence_of
 from chronolake.operators.merkle import history_from_snapshots
@@ -245,5 +245,35 @@ def test_seen_before(spark, hot_rows, buckets):
 def test_seen_before_empty_and_spread(spark):
     df = spark.createDataFrame([(i, b"x") for i in range(200)], "arrival_id long, id_hash binary")
     assert seen_before(df.limit(0), key="id_hash", order="arrival_id").count() == 0
-    flags = flag_arrivals(df, key="id_hash", order="arrival_id", hot_rows=50)
-    assert flags.where("__heavy").count() == 200 and flags.where("not __maybe").count() > 1
+    flags = seen_before(df, key="id_hash", order="arrival_id", hot_rows=50)
+    assert flags.where("not raw").count() > 1 and flags.where("not said").count() == 1
+
+
+def test_small_buckets(spark):
+    data = [(i, f"key {i % 700}".encode(), "clash") for i in range(2000)]
+    df = spark.createDataFrame(data, "arrival_id long, id_hash binary, raw string")
+    got = seen_before(df, key="id_hash", order="arrival_id", bucket_rows=40, log2_buckets=2)
+    assert rows(got.where("repeat").select("arrival_id")) == [(i,) for i in range(700, 2000)] and got.count() == 2000
+
+
+def test_kept_filters(spark):
+    keys = lambda *n: spark.createDataFrame([(f"k{i}".encode() if i is not None else None, i) for i in n], "id_hash binary, bucket int")
+    kept = update_filters(None, keys(*range(500), None, 3, 3), key="id_hash", bits=3, log2_buckets=2)
+    kept = update_filters(kept, keys(*range(100), 3, None), key="id_hash", remove=True, bits=3)
+    asked = keys(*range(600), None, 3)
+    got = {r.bucket for r in ask_filters(kept, asked, key="id_hash", bits=3).collect()}
+    assert got >= {*range(100, 500)} and len(got) < 415 and None not in got
+    kept = update_filters(kept, keys(3), key="id_hash", bits=3)
+    assert ask_filters(kept, keys(3, 3), key="id_hash", bits=3).count() == 2
+    assert update_filters(None, keys().limit(0), key="id_hash").count() == 0
+    assert ask_filters(kept.limit(0), keys(1), key="id_hash").count() == 0
+
+
+def test_filters_come_back_from_bytes():
+    f = CuckooFilter(log2_buckets=3)
+    h = np.random.default_rng(3).integers(0, 2**64, 4000, dtype=np.uint64)
+    f.add(h)
+    g = CuckooFilter.loads(f.dumps())
+    assert g.has(h).all() and len(g.tables) == len(f.tables) > 2 and g.remove(h[0]) and not f.tables[0].cells is g.tables[0].cells
+    g.add(h[:1])
+    assert [t.n for t in g.tables] == [t.n for t in f.tables] or g.has(h[:1]).all()
