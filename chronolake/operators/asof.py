@@ -45,9 +45,9 @@ def as_known_at(
     for c in available:
         known = known & F.col(c).isNotNull()
     v = versions.where(known).select(F.col(key).alias("__k"), seen_from.alias("__t"), F.struct(*names).alias("__ver"))
-    e = events.select(F.col(key).alias("__k"), F.col(event_time).alias("__t"), F.struct(*[F.col(c) for c in events.columns]).alias("__ev"))
-    lost = e.where(F.col("__k").isNull() | F.col("__t").isNull()) if how == "left" else None
-    e = e.where(F.col("__k").isNotNull() & F.col("__t").isNotNull())
+    whole = F.col(key).isNotNull() & F.col(event_time).isNotNull()
+    others = [c for c in events.columns if c not in (key, event_time)]  # key and time come back from what the rows are sorted by
+    e = events.where(whole).select(F.col(key).alias("__k"), F.col(event_time).alias("__t"), F.struct(F.lit(1).alias("__is"), *others).alias("__ev"))
     bounds = time_bounds(v.select("__k", "__t").union(e.select("__k", "__t")), "__k", "__t", hot_rows)
     no_event, no_version = F.lit(None).cast(e.schema["__ev"].dataType), F.lit(None).cast(v.schema["__ver"].dataType)
     v = v.select("__k", "__t", F.lit(0).alias("__kind"), "__ver", no_event.alias("__ev"))
@@ -72,11 +72,16 @@ def as_known_at(
         # what is known after a shard is carried into every later one up to the next shard with versions
         carry = best.select("__k", F.explode(F.sequence(F.col("__shard") + 1, F.col("__until"))).alias("__shard"), "__carry")
     sofar = W.partitionBy("__k", "__shard").orderBy(F.col("__t").asc_nulls_first(), "__kind").rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("__best", F.max("__ver").over(sofar)).where("__kind = 1")
+    found = rows.withColumn("__best", F.max("__ver").over(sofar)).where("__ev is not null")
     if carry is not None:
-        found = found.join(F.broadcast(carry), ["__k", "__shard"], "left").withColumn("__best", F.greatest("__best", "__carry"))
-    if how == "left":
-        found = found.select("__ev", "__best").union(lost.select("__ev", no_version))
-    else:
+        found = found.join(F.broadcast(carry), ["__k", "__shard"], "left")
+        found = found.withColumn("__best", F.when(F.col("__last") > 0, F.greatest("__best", "__carry")).otherwise(F.col("__best")))
+    if how != "left":
         found = found.where("__best is not null")
-    return found.select("__ev.*", *[F.col(f"__best.{n}").alias(prefix + n) for n in names])
+    same = {key: "__k", event_time: "__t"}
+    columns = [F.col(same[c]).cast(events.schema[c].dataType).alias(c) if c in same else F.col(f"__ev.`{c}`").alias(c) for c in events.columns]
+    found = found.select(*columns, *[F.col(f"__best.`{n}`").alias(prefix + n) for n in names])
+    if how == "left":
+        lost = events.where(~F.coalesce(whole, F.lit(False)))
+        found = found.union(lost.select(*events.columns, *[F.lit(None).cast(versions.schema[n].dataType) for n in names]))
+    return found

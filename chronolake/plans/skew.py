@@ -1,7 +1,7 @@
 """Finding heavy keys from a sample of the scan and cutting them into shards of bounded size.
 
-A key is heavy if it would hold more rows than a task should take: a quarter of what a core gets if all rows were spread
-evenly, between MIN_ROWS and MAX_ROWS. Heavy keys and the times that cut them come from one look at about a tenth of the
+A key is heavy if it holds more than MAX_ROWS rows, whatever the table has, or more than one in SHARE of its rows, MIN_ROWS
+at least. Heavy keys and the times that cut them come from one look at about a tenth of the
 pieces of the scan, at most SAMPLE_ROWS rows of them. Results never depend on the sample: where it misleads, shards are
 of less equal size.
 """
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_ROWS, MAX_ROWS = 10_000, 1_000_000
+MIN_ROWS, MAX_ROWS, SHARE = 4_096, 1_000_000, 256
 SAMPLE_ROWS = 1 << 21
 #: Sampled rows a shard must have, so that its bounds are worth something.
 LEAST_SEEN = 10
@@ -93,10 +93,9 @@ def sample_pieces(df: DataFrame, *, rows: int = SAMPLE_ROWS) -> tuple[pa.Table |
     return pa.concat_tables(tables), weight, share * seen
 
 
-def task_rows(df: DataFrame, total: float) -> int:
-    """How many rows of one key a task should take at most."""
-    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return int(min(MAX_ROWS, max(MIN_ROWS, total / (4 * cores))))
+def task_rows(total: float) -> int:
+    """How many rows of one key a task should take at most, of a table with ``total`` rows."""
+    return int(min(MAX_ROWS, max(MIN_ROWS, total / SHARE)))
 
 
 def time_bounds(df: DataFrame, key: str, time: str | Sequence[str], hot_rows: int | None = None) -> Bounds | None:
@@ -117,7 +116,7 @@ def _look(df: DataFrame, key: str, time: str | Sequence[str], hot_rows: int | No
     found, weight, total = sample_pieces(df.select(F.col(key).alias("k"), *[F.col(c).alias(t) for c, t in zip(names, by)]))
     if found is None:
         return 0.0, None
-    most = hot_rows or task_rows(df, total)
+    most = hot_rows or task_rows(total)
     codes, times = found.column("k").combine_chunks().dictionary_encode(), found.select(by)
     code = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     weights = np.bincount(code + 1, weight, len(codes.dictionary) + 1)[1:]
