@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronolake.operators.asof import as_known_at
 from chronolake.operators.intervals import periods_and_gaps
+from chronolake.sources.manifest import Manifests
 
 MAX_BROADCAST_INTERVALS = 100_000
+#: Intervals that a cell of the grid may hold.
+CROWDED = 8
 LOWEST = -(2**63)
 
 
@@ -24,42 +28,90 @@ def merge_intervals(intervals: DataFrame, lo: str = "lo", hi: str = "hi") -> Dat
     return p.where("kind = 'period'").select(lo, hi)
 
 
-def pending(source: DataFrame, seq: str, processed: DataFrame, width: int = 4096) -> DataFrame:
-    """Rows of ``source`` whose number lies in no half-open interval (lo, hi) of ``processed``.
+def runs_of(numbers: DataFrame, seq: str) -> DataFrame:
+    """(``lo``, ``hi``): whole numbers as half-open intervals. Numbers are sorted by ranges and joined inside each range, so
+    there are no more intervals than true ones and one a range."""
 
-    Intervals are cut at multiples of ``width`` and joined by that bin, so a row meets at most ``width / 2`` intervals and
-    neither side is sent whole to one task. Rows with a NULL number are never processed and left out.
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo = hi = None
+        for batch in batches:
+            x = np.unique(batch.column(0).to_numpy())
+            if not len(x):
+                continue
+            cut = np.flatnonzero(np.diff(x) != 1)
+            los, his = x[np.r_[0, cut + 1]].tolist(), (x[np.r_[cut, len(x) - 1]] + 1).tolist()
+            if lo is not None:
+                if los[0] <= hi:
+                    los[0], his[0] = lo, max(hi, his[0])
+                else:
+                    los, his = [lo, *los], [hi, *his]
+            lo, hi = los[-1], his[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(los[:-1], pa.int64()), pa.array(his[:-1], pa.int64())], ["lo", "hi"])
+        if lo is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([hi], pa.int64())], ["lo", "hi"])
+
+    n = numbers.where(F.col(seq).isNotNull()).select(F.col(seq).cast("bigint").alias("n"))
+    return n.repartitionByRange("n").sortWithinPartitions("n").mapInArrow(join, "lo bigint, hi bigint")
+
+
+def locate(rows: DataFrame, seq: str, intervals: DataFrame, *, lo: str = "lo", hi: str = "hi", outside: bool = False) -> DataFrame:
+    """Each row with the columns of the interval that its number lies in; with ``outside`` the rows that lie in none instead.
+
+    The intervals are half-open and disjoint. What this costs doesn't depend on how long they are. Up to
+    MAX_BROADCAST_INTERVALS are laid on a grid of about four cells an interval and broadcast, unless that crowds more than
+    CROWDED into a cell; others are merged with the rows in order, as versions that hold from ``lo`` on. Rows with a NULL
+    number are left out.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("__bin")
-    cut = processed.where("lo < hi").select("lo", "hi", bins).groupBy("__bin").agg(F.collect_list(F.struct("lo", "hi")).alias("__done"))
-    rows = source.where(F.col(seq).isNotNull()).withColumn("__bin", F.floor(F.col(seq) / width)).join(cut, "__bin", "left")
-    done = F.exists("__done", lambda x: (x.lo <= F.col(seq)) & (F.col(seq) < x.hi))
-    return rows.where(~F.coalesce(done, F.lit(False))).drop("__bin", "__done")
+    spark = rows.sparkSession
+    rows = rows.where(F.col(seq).isNotNull())
+    intervals = intervals.where(F.col(lo) < F.col(hi))
+    rest = [c for c in intervals.columns if c not in (lo, hi)]
+    some = np.array([tuple(r) for r in intervals.select(F.col(lo).cast("bigint"), F.col(hi).cast("bigint")).limit(MAX_BROADCAST_INTERVALS + 1).collect()], np.int64).reshape(-1, 2)
+    if not len(some):
+        return rows if outside else rows.where(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in intervals.schema])
+    if len(some) <= MAX_BROADCAST_INTERVALS:
+        first, last = int(some[:, 1].min()) - 1, int(some[:, 1].max())  # all below the first end is one cell
+        width = max(1, (last - first) // (4 * len(some)))
+        from_cell, to_cell = (np.maximum(some[:, 0], first) - first) // width, (some[:, 1] - 1 - first) // width
+        ends = np.bincount(np.unique(np.r_[from_cell, to_cell + 1], return_inverse=True)[1], np.r_[np.ones(len(some)), -np.ones(len(some))])
+        if np.cumsum(ends).max() <= CROWDED:
+            cell = lambda x: F.floor((F.greatest(x, F.lit(first)) - F.lit(first)) / width)
+            grid = intervals.withColumn("__cell", F.explode(F.sequence(cell(F.col(lo)), cell(F.col(hi) - 1))))
+            grid = F.broadcast(grid.select("__cell", F.col(lo).alias("__g_lo"), F.col(hi).alias("__g_hi"), *rest))
+            inside = (F.col("__cell") == cell(F.col(seq))) & (F.col(seq) >= F.col("__g_lo")) & (F.col(seq) < F.col("__g_hi"))
+            if outside:
+                return rows.join(grid, inside, "left_anti")
+            return rows.where(F.col(seq) < last).join(grid, inside).drop("__cell").withColumnsRenamed({"__g_lo": lo, "__g_hi": hi})
+    known = intervals.select(F.lit(0).alias("__one"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), *[F.col(c).alias(f"__p_{c}") for c in rest])
+    asked = rows.withColumn("__one", F.lit(0)).withColumn("__n", F.col(seq))
+    met = as_known_at(asked, known, key="__one", event_time="__n", order=["__lo"], available=["__lo"], payload=["__hi", *[f"__p_{c}" for c in rest]], how="left").drop("__one", "__n")
+    if outside:
+        return met.where(F.col("__hi").isNull() | (F.col(seq) >= F.col("__hi"))).select(*rows.columns)
+    return met.where(F.col(seq) < F.col("__hi")).withColumnsRenamed({"__lo": lo, "__hi": hi} | {f"__p_{c}": c for c in rest})
+
+
+def pending(source: DataFrame, seq: str, processed: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose number lies in no half-open interval (lo, hi) of ``processed``, which are disjoint. Rows with a
+    NULL number are never processed and left out."""
+    return locate(source, seq, processed.select(F.col("lo").alias("__a"), F.col("hi").alias("__z")), lo="__a", hi="__z", outside=True)
 
 
 class Ledger:
     """Runs that process each sequence number exactly once, late numbers and failed runs included.
 
     A run subtracts the processed intervals from the numbers present in the source, processes the rest, writes the output
-    and the merged intervals beside each other and commits both by one rename of a manifest. Before that rename nothing
-    of a run can be seen; a run that died is simply done again. ``path`` must be on storage all executors share, with an
-    atomic rename.
+    and the merged intervals beside each other and commits both by one manifest. Before that nothing of a run can be seen;
+    a run that died is simply done again. ``path`` must be on storage all executors share.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at(self.path))
+        self.manifests = Manifests(spark, self.path, "commit")
 
     def manifest(self) -> dict:
         """The last committed state: version, folder of intervals, folders of output."""
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
-        last = max((n for n in found if n.startswith("commit-") and n.endswith(".json")), default=None)
-        if last is None:
-            return {"version": 0, "intervals": None, "output": []}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{last}").collect()))
+        version, body = self.manifests.last()
+        return {"version": version, **(body or {"intervals": None, "output": []})}
 
     def processed(self) -> DataFrame:
         """(lo, hi): the half-open, disjoint intervals processed so far."""
@@ -76,27 +128,18 @@ class Ledger:
         state = self.manifest()
         done = self.processed()
         new = pending(source, seq, done)
-        if new.isEmpty():
-            return None
         work = f"{self.path}/run-{uuid.uuid4().hex}"
         new.write.parquet(f"{work}/input")  # the numbers that count as processed are exactly those of the rows read here
         taken = self.spark.read.schema(new.schema).parquet(f"{work}/input")
+        if taken.isEmpty():
+            self.manifests.delete_folder(work)
+            return None
         process(taken).write.parquet(f"{work}/output")
-        numbers = taken.select(F.col(seq).cast("bigint").alias("lo"), (F.col(seq) + 1).cast("bigint").alias("hi"))
-        merge_intervals(done.union(numbers)).write.parquet(f"{work}/intervals")
-        version = state["version"] + 1
-        body = json.dumps({"version": version, "intervals": f"{work}/intervals", "output": [*state["output"], f"{work}/output"]})
-        self._commit(version, body)
-        return version
-
-    def _commit(self, version: int, body: str) -> None:
-        draft, final = self._at(f"{self.path}/.draft-{uuid.uuid4().hex}"), self._at(f"{self.path}/commit-{version:010d}.json")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(body.encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {version} was committed by another run")
+        merge_intervals(done.union(runs_of(taken, seq))).write.parquet(f"{work}/intervals")
+        return self._commit(state["version"], {"intervals": f"{work}/intervals", "output": [*state["output"], f"{work}/output"]})
+
+    def _commit(self, after: int, body: dict) -> int:
+        return self.manifests.publish(after, body)
 
 
 def subtract(lo: int, hi: int, done: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,20 +199,8 @@ def sequence_of(at: Column) -> Column:
 
 
 def assign_gaps(rows: DataFrame, seq: str, gaps: DataFrame) -> DataFrame:
-    """Each row with the columns of the gap its number lies in; rows outside all gaps are left out.
-
-    Gaps are laid on a grid of about four bins a gap and joined by the bin. The gaps are broadcast only below
-    MAX_BROADCAST_INTERVALS of them.
-    """
-    n, first, last = gaps.agg(F.count(F.lit(1)), F.min("__hi"), F.max("__hi")).first()
-    if not n:
-        return rows.where(F.lit(False)).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in gaps.schema])
-    width = max(1, (last - first) // (4 * n))
-    first_bin = lambda x: F.floor((F.greatest(x, F.lit(first - 1)) - F.lit(first - 1)) / width)
-    grid = gaps.withColumn("__bin", F.explode(F.sequence(first_bin(F.col("__lo")), first_bin(F.col("__hi") - 1))))
-    grid = F.broadcast(grid) if n <= MAX_BROADCAST_INTERVALS else grid
-    binned = rows.where(F.col(seq) < last).withColumn("__bin", first_bin(F.col(seq)))
-    return binned.join(grid, "__bin").where((F.col(seq) >= F.col("__lo")) & (F.col(seq) < F.col("__hi"))).drop("__bin")
+    """Each row with the columns of the gap its number lies in; rows outside all gaps are left out."""
+    return locate(rows, seq, gaps, lo="__lo", hi="__hi")
 
 
 def new_or_changed(log: DataFrame, gaps: DataFrame, *, record: Sequence[str], seq: Column, tie: str, values: Sequence[str], keep: Sequence[str]) -> DataFrame:

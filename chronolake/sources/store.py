@@ -3,46 +3,53 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolake.sources.manifest import Manifests
+
 
 class VersionedTable:
-    """Each version is a folder of Parquet files, made visible by one rename; older versions stay until they are removed."""
+    """Each version is a folder of Parquet files, made visible by a manifest that names it; older versions stay until they
+    are removed."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at(self.path))
+        self.manifests = Manifests(spark, self.path, "v")
 
     def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+        return self.manifests.versions()
 
     def view(self, version: int | None = None) -> DataFrame:
         """A version, by default the last; later commits don't change it."""
-        there = self.versions()
-        if not there or (version is not None and version not in there):
+        body = self.manifests.last()[1] if version is None else self.manifests.read(version)
+        if body is None:
             raise LookupError(f"no version {version if version is not None else ''} of {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{there[-1] if version is None else version}")
-
-    def commit(self, df: DataFrame) -> int:
-        """Writes the next version; an error if another writer was first. A run that dies leaves only a draft."""
-        version = (self.versions() or [0])[-1] + 1
-        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        df.write.parquet(draft)
-        final = self._at(f"{self.path}/v{version}")
-        if self._fs.exists(final) or not self._fs.rename(self._at(draft), final):
-            self._fs.delete(self._at(draft), True)
-            raise RuntimeError(f"version {version} was committed by another writer")
-        return version
-
-    def update(self, change) -> int:
-        """Commits ``change(current)``."""
-        return self.commit(change(self.view()))
+        return self.spark.read.parquet(body["data"])
+
+    def commit(self, df: DataFrame, after: int | None = None) -> int:
+        """Writes the version that follows ``after``, by default the last; an error if another writer was first. A run that
+        dies leaves only a folder that no manifest names."""
+        after = self.manifests.last()[0] if after is None else after
+        data = f"{self.path}/data-{uuid.uuid4().hex}"
+        df.write.parquet(data)
+        try:
+            return self.manifests.publish(after, {"data": data})
+        except RuntimeError:
+            self.manifests.delete_folder(data)
+            raise
+
+    def update(self, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Commits ``change(current)``; an error if the current version isn't the last any more by then."""
+        version, body = self.manifests.last()
+        if body is None:
+            raise LookupError(f"no version of {self.path}")
+        return self.commit(change(self.spark.read.parquet(body["data"])), version)
 
     def remove_before(self, version: int) -> None:
         for v in self.versions():
             if v < version:
-                self._fs.delete(self._at(f"{self.path}/v{v}"), True)
+                data = self.manifests.read(v)["data"]
+                self.manifests.delete(v)
+                self.manifests.delete_folder(data)

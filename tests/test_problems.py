@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.cuckoo import CuckooFilter, ask_filters, seen_before, update_filters
 from chronolake.operators.intervals import periods_and_gaps
-from chronolake.operators.ledger import Ledger, assign_gaps, merge_intervals, new_or_changed, pending, run_gaps, sequence_of
+from chronolake.operators.ledger import Ledger, assign_gaps, merge_intervals, new_or_changed, pending, run_gaps, runs_of, sequence_of
 from chronolake.operators.merkle import history_from_snapshots
 from chronolake.operators.salted import add_salt, index_entries
 
@@ -127,14 +127,72 @@ def test_ledger_takes_each_number_once(spark, tmp_path):
     assert led.run(source(1, 2, 3, 4, 5, 6, 7, 9), "seq", lambda d: d) is None
     assert sorted(r[0] for r in led.output().collect()) == [1, 2, 3, 4, 5, 6, 7, 9]
     with pytest.raises(RuntimeError, match="another run"):
-        led._commit(2, "{}")
+        led._commit(1, {})
+
+
+def test_ledger_run_that_dies_after_its_output(spark, tmp_path, monkeypatch):
+    led, source = Ledger(spark, str(tmp_path / "ledger")), spark.createDataFrame([(x,) for x in (4, 5, 9)], "seq long")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(led, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            led.run(source, "seq", lambda d: d)
+    assert led.output() is None and rows(led.processed()) == []
+    assert led.run(source, "seq", lambda d: d) == 1
+    assert rows(led.processed()) == [(4, 6), (9, 10)] and sorted(r[0] for r in led.output().collect()) == [4, 5, 9]
+
+
+def test_manifest_of_a_dead_writer_is_passed_over(spark, tmp_path, monkeypatch):
+    from chronolake.sources import manifest
+
+    m = manifest.Manifests(spark, str(tmp_path / "m"), "v")
+    assert m.last() == (0, None) and m.publish(0, {"a": 1}) == 1
+    (tmp_path / "m" / "v-0000000002.json").write_text("")
+    with pytest.raises(RuntimeError, match="another run"):
+        m.publish(1, {"a": 2})
+    monkeypatch.setattr(manifest, "GIVEN_UP", -1.0)
+    assert m.publish(1, {"a": 2}) == 3 and m.last() == (3, {"a": 2}) and m.versions() == [1, 3]
+    with pytest.raises(RuntimeError, match="another run"):
+        m.publish(1, {"a": 9})
+
+
+def test_long_intervals_cost_nothing(spark):
+    done = spark.createDataFrame([(3, 10**13), (2 * 10**13, 10**18)], "lo long, hi long")
+    src = spark.createDataFrame([(2,), (3,), (10**13 - 1,), (10**13,), (10**18 - 1,), (10**18,)], "seq long")
+    assert rows(pending(src, "seq", done)) == [(2,), (10**13,), (10**18,)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_locate_against_model(spark, most, monkeypatch):
+    from chronolake.operators import ledger
+
+    monkeypatch.setattr(ledger, "MAX_BROADCAST_INTERVALS", most)
+    r = random.Random(9)
+    edges = sorted(r.sample(range(400), 60)) + [10**15, 10**15 + 7]
+    iv = [(a, b, f"g{a}") for a, b in zip(edges[::2], edges[1::2])]
+    src = [(i, r.choice([None, 10**15 + 3, 10**16, *[r.randint(-5, 405)] * 9])) for i in range(300)]
+    df, gaps = spark.createDataFrame(src, "i long, seq long"), spark.createDataFrame(iv, "a long, z long, name string")
+    met = {i: [g for g in iv if n is not None and g[0] <= n < g[1]] for i, n in src}
+    assert rows(ledger.locate(df, "seq", gaps, lo="a", hi="z").select("i", "name", "a", "z")) == sorted((i, g[2], g[0], g[1]) for i, m in met.items() for g in m)
+    assert rows(ledger.locate(df, "seq", gaps, lo="a", hi="z", outside=True)) == sorted((i, n) for i, n in src if n is not None and not met[i])
+    assert ledger.locate(df, "seq", gaps.limit(0), lo="a", hi="z").count() == 0
+
+
+def test_runs_of_numbers(spark):
+    numbers = [5, 5, 6, 7, 9, *range(100, 25_000), None, -3]
+    found = runs_of(spark.createDataFrame([(n,) for n in numbers], "n long"), "n")
+    assert rows(merge_intervals(found)) == [(-3, -2), (5, 8), (9, 10), (100, 25_000)] and found.count() < 12
+    assert runs_of(spark.createDataFrame([], "n int"), "n").count() == 0
 
 
 def test_intervals_of_numbers(spark):
     iv = spark.createDataFrame([(0, 5), (5, 6), (9, 9), (None, 3), (20, 9000)], "lo long, hi long")
     assert rows(merge_intervals(iv)) == [(0, 6), (20, 9000)]
     src = spark.createDataFrame([(-1,), (0,), (5,), (6,), (4096,), (9000,), (None,)], "seq long")
-    assert rows(pending(src, "seq", iv.where("lo is not null"), 64)) == [(-1,), (6,), (9000,)]
+    assert rows(pending(src, "seq", iv.where("lo is not null"))) == [(-1,), (6,), (9000,)]
 
 
 SNAP = "row_id long, address string, tx_num long, nonce long, balance decimal(38,0), code_hash string, key string"
