@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def extract(source: DataFrame, start=None, end=None, *, outputs: list[Column] | None = None) -> DataFrame:
-    """Rows with start <= k < end, each turned into the given pairs (structs of ``k`` and ``v``; NULL pairs are dropped)."""
+def extract(source: DataFrame, start=None, end=None, *, outputs: list[Column] | None = None, seq: str | None = None) -> DataFrame:
+    """Rows with start <= k < end, each turned into the given pairs (structs of ``k`` and ``v``; NULL pairs are dropped). With
+    ``seq`` its column and ``part``, the position of a pair among those of its row, tell in what order pairs came."""
     if start is not None:
         source = source.where(F.col("k") >= start)
     if end is not None:
         source = source.where(F.col("k") < end)
     if outputs is None:
         return source
-    return source.select(F.explode(F.array(*outputs)).alias("x")).where("x is not null").select("x.k", "x.v")
+    if seq is None:
+        return source.select(F.explode(F.array(*outputs)).alias("x")).where("x is not null").select("x.k", "x.v")
+    return source.select(seq, F.posexplode(F.array(*outputs)).alias("part", "x")).where("x is not null").select("x.k", "x.v", seq, "part")
 
 
 def sort_stable(rows: DataFrame, seq: str) -> DataFrame:
@@ -49,10 +52,13 @@ def load_onto(target: DataFrame, rows: DataFrame, merge: Column | None = None) -
 
 
 def transform(source: DataFrame, target: DataFrame, *, outputs: list[Column], start=None, end=None, seq: str | None = None) -> DataFrame:
-    """Extract from a source and load onto a target; without ``seq`` the greatest of several values of a key is loaded."""
-    rows = extract(source, start, end, outputs=outputs)
-    once = rows.groupBy("k").agg((F.max if seq is None else F.first)("v").alias("v"))
-    return load_onto(target, once)
+    """Extract from a source and load onto a target. Of several values of a key the last by ``seq`` is loaded, of those of one
+    source row the one given last; without ``seq`` the greatest."""
+    rows = extract(source, start, end, outputs=outputs, seq=seq)
+    if seq is None:
+        return load_onto(target, rows.groupBy("k").agg(F.max("v").alias("v")))
+    last = rows.groupBy("k").agg(F.max(F.struct(F.col(seq), F.col("part"), F.col("v"))).alias("x"))
+    return load_onto(target, last.select("k", F.col("x.v").alias("v")))
 
 
 def next_key(key: bytes) -> bytes:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from chronolake.operators.ordered import global_rank, running
 
 DICTIONARY_SIZE = 65_536
-MAX_PATTERNS = 1_000_000
+#: Characters of the patterns that one automaton takes.
+BLOCK_CHARS = 16 << 20
 SHORTEST_PATTERN, LONGEST_PATTERN = 5, 128
 
 
@@ -87,24 +87,60 @@ def longest_matches(texts: DataFrame, patterns: DataFrame, *, text_id: str, text
     """(``text_id``, ``begin``, ``end``, ``pattern``): at each position the longest pattern that begins there, without matches
     that lie inside an earlier one.
 
-    Patterns, at most MAX_PATTERNS (more are an error), go to the executors as one expression; texts are read whole. NULL and
-    empty texts and patterns match nothing.
+    Patterns are cut into blocks of BLOCK_CHARS and each block goes over the texts with one automaton, so time grows with
+    the texts and the matches, not with the number of patterns in a block. Texts are read whole. NULL and empty texts and
+    patterns match nothing; positions count characters; each text must have an id of its own.
     """
-    words = sorted({r[0] for r in patterns.select(pattern).where(F.length(pattern) > 0).distinct().limit(MAX_PATTERNS + 1).collect()}, key=lambda w: (-len(w), w))
-    if len(words) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
     kind = texts.schema[text_id].dataType.simpleString()
-
+    found = None
+    for block in _blocks(r[0] for r in patterns.select(pattern).where(F.length(pattern) > 0).distinct().toLocalIterator()):
+        part = _longest_of_block(texts, block, text_id, text, kind)
+        found = part if found is None else found.union(part)
+    if found is None:
+        return texts.sparkSession.createDataFrame([], f"`{text_id}` {kind}, begin int, end int, pattern string")
+    return found if found is part else _across_blocks(found, text_id)
+
+
+def _blocks(words: Iterable[str]) -> Iterator[list[str]]:
+    block, size = [], 0
+    for w in words:
+        if block and size + len(w) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(w)
+        size += len(w)
+    if block:
+        yield block
+
+
+def _across_blocks(found: DataFrame, text_id: str) -> DataFrame:
+    """What is left of the matches of several blocks: those that reach further than every match that begins earlier or there."""
+    longest = found.groupBy(text_id, "begin").agg(F.max(F.struct("end", "pattern")).alias("x")).select(text_id, "begin", "x.end", "x.pattern")
+    ahead = running(longest.withColumn("__neg", -F.col("end")), keys=[text_id], time="begin", mins={"__reached": "__neg"}, before=True)
+    return ahead.where(F.col("__reached").isNull() | (F.col("__neg") < F.col("__reached"))).select(text_id, "begin", "end", "pattern")
+
+
+def _longest_of_block(texts: DataFrame, words: list[str], text_id: str, text: str, kind: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_each = re.compile("(?=(" + "|".join(map(re.escape, words)) + "))", re.S) if words else None
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, len(w))
+        automaton.make_automaton()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not (t := t.as_py()):
+                    continue
+                longest: dict[int, int] = {}
+                for last, size in automaton.iter(t):
+                    longest[last + 1 - size] = max(last + 1, longest.get(last + 1 - size, 0))
                 reached = 0
-                for m in at_each.finditer(t) if at_each and t else ():
-                    if m.end(1) > reached:
-                        reached = m.end(1)
-                        for column, x in zip(out, (i, m.start(1), m.end(1), m[1])):
+                for begin in sorted(longest):
+                    if longest[begin] > reached:
+                        reached = longest[begin]
+                        for column, x in zip(out, (i, begin, reached, t[begin:reached])):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], [text_id, "begin", "end", "pattern"])
 

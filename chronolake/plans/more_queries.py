@@ -169,6 +169,18 @@ def _(s, d):
     return etl.transform(src, customers(s, d), outputs=[F.struct("k", "v")], start=10, end=900)
 
 
+@query(
+    "e1_transform_by_seq",
+    f"""WITH n AS (SELECT k, arg_max(v, seq) AS v FROM (SELECT o_custkey AS k, o_totalprice AS v, o_orderkey * 2 AS seq FROM orders UNION ALL SELECT o_custkey + 1, -o_totalprice, o_orderkey * 2 + 1 FROM orders WHERE o_totalprice > 1000) GROUP BY 1)
+    SELECT k, v FROM n UNION ALL SELECT k, v FROM {CU} WHERE k NOT IN (SELECT k FROM n)""",
+)
+def _(s, d):
+    """The last order of each customer, and taken back of the customer before: two pairs a row, the last in order is loaded."""
+    src = table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
+    back = F.when(F.col("v") > 1000, F.struct((F.col("k") + 1).alias("k"), (-F.col("v")).alias("v")))
+    return etl.transform(src, customers(s, d), outputs=[F.struct("k", "v"), back], seq="seq")
+
+
 @query("e2_fan_out", "SELECT o_custkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT -o_custkey - 1, o_totalprice * 2 FROM orders WHERE o_orderstatus = 'F'")
 def _(s, d):
     src = table(s, d, "orders").withColumn("k", F.col("o_custkey"))

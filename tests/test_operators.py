@@ -377,3 +377,30 @@ def test_account_round_trip(spark):
 def test_branch_masks(spark):
     up = spark.createDataFrame([(1, "p", 0, "x"), (2, "p", 0, None), (3, "p", 4, "y")], "seq long, prefix string, nibble int, cell string")
     assert rows(commitment.merge_branches(up)) == [("p", 0b10001, 0b10000)]
+
+
+def test_transform_takes_the_last_by_seq(spark):
+    target = spark.createDataFrame([(1, 9), (2, 8)], "k long, v long")
+    for data in ([(1, 0, 1), (1, 7, 2)], [(1, 7, 2), (1, 0, 1)]):
+        src = spark.createDataFrame(data, "k long, v long, seq long")
+        assert rows(etl.transform(src, target, outputs=[F.struct("k", "v")], seq="seq")) == [(1, 7), (2, 8)]
+    both = [F.struct("k", F.lit(5).cast("long").alias("v")), F.struct("k", F.lit(6).cast("long").alias("v"))]
+    assert rows(etl.transform(src.limit(1), target, outputs=both, seq="seq")) == [(1, 6), (2, 8)]
+
+
+@pytest.mark.parametrize("most", [1, 12, 10**6])
+def test_longest_matches_over_blocks(spark, most, monkeypatch):
+    monkeypatch.setattr(formats, "BLOCK_CHARS", most)
+    r = random.Random(6)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 6))) for _ in range(25)]
+    texts = [(i, "".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(20)] + [(99, None)]
+    want = []
+    for i, t in texts:
+        reached = 0
+        for a in range(len(t or "")):
+            z = max((a + len(w) for w in words if t.startswith(w, a)), default=0)
+            if z > reached:
+                reached = z
+                want.append((i, a, z, t[a:z]))
+    got = formats.longest_matches(spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame([(w,) for w in [*words, "", None]], "p string"), text_id="id", text="t", pattern="p")
+    assert rows(got) == sorted(want)
