@@ -20,7 +20,6 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(style|script)\b[^>]*>.*?(?:</\1\s*>|\
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _INLINE = re.compile(r"</?[a-z!?][^>]*>", re.I)
 _WORD = re.compile(r"[^\W_]+")
-MAX_NESTING = 50
 
 
 def words(text: str) -> list[str]:
@@ -78,7 +77,7 @@ def text_parts(mail: str | None) -> list[str]:
     Parts in 7bit or 8bit are characters already. A part ends at the next line with its boundary or that of an enclosing
     part, or with the mail. Lines of a header that aren't fields are ignored; the first of several equal fields counts.
     A multipart without a boundary uses the first line like one; without any such line it is read as plain text. A mail
-    that doesn't begin with a header is one plain text. Mails inside mails are read like parts.
+    that doesn't begin with a header is one plain text. Mails inside mails are read like parts, at any depth.
     """
     found: list[str] = []
     todo = [(mail, 0)] if mail else []
@@ -103,7 +102,7 @@ def text_parts(mail: str | None) -> list[str]:
             if c := _CHARSET.search(ctype):
                 charset = c[1].lower()
         coding = fields.get("transfer-encoding", "").split(";", 1)[0].strip().lower()
-        if kind.startswith("multipart/") and depth < MAX_NESTING:
+        if kind.startswith("multipart/"):
             b = _BOUNDARY.search(ctype)
             mark = (b[1] if b[1] is not None else b[2]).rstrip() if b else None
             if mark is None and (first := _FIRST_MARK.search(body)):
@@ -122,7 +121,7 @@ def text_parts(mail: str | None) -> list[str]:
                     todo += [(x, depth + 1) for x in reversed(pieces)]
                     continue
             found.append(body)
-        elif kind == "message/rfc822" and depth < MAX_NESTING:
+        elif kind == "message/rfc822":
             todo.append((body.lstrip("\r\n"), depth + 1))
         elif kind.startswith("text/"):
             found.append(_body(kind, coding, charset, body))

@@ -2,74 +2,92 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_LEAVES = 1_000_000
+from chronolake.session import materialize
+
 RANGE_BITS = 12
+#: Rows up to which a table of sources or leaves, counted before, is broadcast.
+MAX_BROADCAST_ROWS = 100_000
+LEAF = ["__src", "__l", "__none"]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small; a larger one is joined by shuffles."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
-@dataclass
-class Node:
-    """A node of the domain-language-source tree; a leaf has a weight and a capacity, others get theirs from children."""
-
-    weight: float = 0.0
-    capacity: float = 0.0
-    children: dict[object, Node] = field(default_factory=dict)
-    budget: float = 0.0
-
-    def add(self, path: Sequence[object], weight: float, capacity: float) -> None:
-        self.weight += weight
-        self.capacity += capacity
-        if path:
-            self.children.setdefault(path[0], Node()).add(path[1:], weight, capacity)
-
-    def share_out(self, budget: float) -> None:
-        """Gives the budget to the children by weight. What a child can't take goes to its siblings; a child is never given
-        more than its whole subtree can take, so a shortage leaves a subtree only when all inside is full."""
-        self.budget = min(budget, self.capacity)
-        open_, left, given = dict(self.children), self.budget, dict.fromkeys(self.children, 0.0)
-        while open_ and left > 1e-9:
-            total = sum(c.weight for c in open_.values())
-            want = {k: left * (c.weight / total if total > 0 else c.capacity / max(1e-300, sum(x.capacity for x in open_.values()))) for k, c in open_.items()}
-            full = [k for k, c in open_.items() if given[k] + want[k] >= c.capacity]
-            for k in full or list(open_):
-                take = min(want[k], open_[k].capacity - given[k])
-                given[k] += take
-                left -= take
-            if not full:
-                break
-            for k in full:
-                del open_[k]
-        for k, c in self.children.items():
-            c.share_out(given[k])
-
-
-def leaf_budgets(leaves: Sequence[tuple], targets: Mapping[object, tuple[float, int]], domain_of: Mapping[object, str], total: float | None = None) -> dict[tuple, float]:
-    """{(source, language): tokens} for leaves (source, language, tokens). ``targets``: source to (share, most repeats).
-
-    A source's share is spread over its languages by their tokens. ``total`` defaults to the tokens of all leaves. A
-    source without tokens is a leaf of no capacity in its domain: its share goes to the sources of that domain first.
+def _share_out(children: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
+    """``children`` (``w``: weight, ``cap``: capacity, ``given``: their parent's budget) with ``budget``: what each gets.
+
+    A parent's budget goes to its children by weight, but none gets more than its capacity; what is left over goes to its
+    siblings by weight. In order of capacity a unit of weight, the first children are full and the others share the rest, so
+    sums over that order settle it at once.
+    """
+    order = W.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), F.col(name).asc_nulls_first())
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
+    left = F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    x = children.withColumn("__full", F.col("cap") * F.sum("w").over(after) <= left * F.col("w"))
+    family = W.partitionBy(*parent)
+    rest = F.col("given") - F.coalesce(F.sum(F.when(F.col("__full"), F.col("cap"))).over(family), F.lit(0.0))
+    open_ = F.sum(F.when(~F.col("__full"), F.col("w"))).over(family)
+    return x.withColumn("budget", F.when(F.col("__full"), F.col("cap")).otherwise(F.greatest(rest, F.lit(0.0)) * F.col("w") / open_)).drop("__full", "given")
+
+
+def leaf_budgets(leaves: DataFrame, targets: DataFrame, tree: DataFrame | None = None, total: float | None = None) -> DataFrame:
+    """(``__src``, ``__l``, ``__none``, ``n``, ``repeats``, ``budget``): the tokens that each leaf (a source and a language, with
+    ``n`` tokens) should give.
+
+    Budgets go down a tree of domains (``tree``: source, domain; others are one domain), languages and sources. A source's
+    share is spread over its languages by their tokens. A source without tokens is a leaf of no capacity in its domain: its
+    share goes to the sources of that domain first. ``total`` defaults to the tokens of all leaves.
     """
-    tokens: dict[object, float] = {}
-    for source, _, n in leaves:
-        tokens[source] = tokens.get(source, 0) + n
-    root = Node()
-    for source, (share, _) in targets.items():
-        if not tokens.get(source):
-            root.add((domain_of.get(source, "other"), None, source), share, 0.0)
-    for source, lang, n in leaves:
-        if n:
-            share, repeats = targets[source]
-            root.add((domain_of.get(source, "other"), ("in", lang), source), share * n / tokens[source], n * repeats)
-    root.share_out(sum(tokens.values()) if total is None else total)
-    return {
-        (source, lang[1]): leaf.budget for by_lang in root.children.values() for lang, node in by_lang.children.items() if lang is not None for source, leaf in node.children.items()
-    }
+    of = targets.select(F.col("source").alias("__src"), "share", "repeats")
+    if tree is not None:
+        of = of.join(tree.groupBy(F.col("source").alias("__src")).agg(F.min("domain").alias("domain")), "__src", "left").withColumn("domain", F.coalesce("domain", F.lit("other")))
+    else:
+        of = of.withColumn("domain", F.lit("other"))
+    per_source = leaves.groupBy("__src").agg(F.sum("n").alias("tokens"))
+    known = of.join(per_source, "__src", "left")
+    full = known.where("tokens > 0").join(leaves.where("n > 0"), "__src")
+    cols = ["domain", "__src", "__l", "__none", "n", "repeats"]
+    full = full.select(*cols, (F.col("share") * F.col("n") / F.col("tokens")).alias("w"), (F.col("n") * F.col("repeats")).cast("double").alias("cap"))
+    void = known.where(F.coalesce("tokens", F.lit(0)) == 0).select("domain", "__src", F.lit(None).cast("string").alias("__l"), F.lit(None).cast("boolean").alias("__none"), F.lit(0).cast("bigint").alias("n"), "repeats", F.col("share").cast("double").alias("w"), F.lit(0.0).alias("cap"))
+    leaf = full.unionByName(void).withColumn("__lang", F.struct("__none", "__l"))
+    langs = leaf.groupBy("domain", "__lang").agg(F.sum("w").alias("w"), F.sum("cap").alias("cap"))
+    domains = langs.groupBy("domain").agg(F.sum("w").alias("w"), F.sum("cap").alias("cap")).withColumn("__root", F.lit(0))
+    wanted = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double")).scalar() if total is None else F.lit(float(total))
+    whole = F.sum("cap").over(W.partitionBy("__root"))
+    domains = _share_out(domains.withColumn("given", F.least(wanted, whole)), ["__root"], "domain").select("domain", F.col("budget").alias("given"))
+    langs = _share_out(langs.join(domains, "domain"), ["domain"], "__lang").select("domain", "__lang", F.col("budget").alias("given"))
+    leaf = leaf.join(langs, (leaf["domain"] == langs["domain"]) & leaf["__lang"].eqNullSafe(langs["__lang"])).select(leaf["*"], "given")
+    return _share_out(leaf, ["domain", "__lang"], "__src").where("n > 0").select(*LEAF, "n", "repeats", "budget")
+
+
+def _listed(targets: DataFrame) -> DataFrame:
+    """(``source``, ``share``, ``repeats``) of the rows of ``targets`` that count; of several for a source that with the greatest share."""
+    t = targets.select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("repeats"))
+    t = t.where("source is not null and share > 0 and repeats > 0")
+    return t.groupBy("source").agg(F.max(F.struct("share", "repeats")).alias("x")).select("source", "x.share", "x.repeats")
+
+
+def _records(sized: DataFrame, listed: DataFrame, record: str, source: str, lang: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """Records of listed sources, and the leaves they make with their tokens."""
+    docs = sized.select(F.col(record).alias("__id"), F.col(source).alias("__src"), F.col(lang).alias("__lang"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("__n"))
+    docs = docs.join(_small(listed.select(F.col("source").alias("__src"))), "__src").withColumn("__none", F.col("__lang").isNull()).withColumn("__l", F.coalesce("__lang", F.lit("")))
+    return docs, docs.groupBy(*LEAF).agg(F.sum("__n").alias("n"))
+
+
+def planned_shares(sized: DataFrame, targets: DataFrame, *, source: str = "source", lang: str = "lang", tokens: str = "n_tokens", tree: DataFrame | None = None, total_tokens: int | None = None) -> DataFrame:
+    """(``source``, ``planned_share``): the share of the mix each source with records is to have, after shortages are made up."""
+    listed = _listed(targets)
+    _, leaves = _records(sized.withColumn("__rec", F.lit(0)), listed, "__rec", source, lang, tokens)
+    b = leaf_budgets(leaves, listed, tree, total_tokens).groupBy(F.col("__src").alias("source")).agg(F.sum("budget").alias("b"))
+    return b.select("source", (F.col("b") / F.sum("b").over(W.partitionBy(F.lit(0)))).alias("planned_share"))
 
 
 def mix(
@@ -80,57 +98,47 @@ def mix(
     source: str = "source",
     lang: str = "lang",
     tokens: str = "n_tokens",
-    domain_of: Mapping[object, str] | None = None,
+    tree: DataFrame | None = None,
     total_tokens: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """(``record``, ``source``, ``lang``, ``tokens``, ``uses``, ``part_tokens``): how often each record is used whole, and how
     many of its first tokens are used once more; records that aren't used have no row.
 
-    ``targets``: (source, target_share, max_repeats), one row a source. Budgets go down a tree of domains, languages and
-    sources; a shortage is made up by siblings before ancestors. A leaf's budget is whole epochs of all its records and,
+    ``targets``: (source, target_share, max_repeats), one row a source; ``tree``: (source, domain). Budgets go down a tree of
+    domains, languages and sources; a shortage is made up by siblings before ancestors. A leaf's budget is whole epochs of all its records and,
     of the last epoch, a prefix of their tokens in a seeded order: the record at the cut is used in part, so budgets are met
     to the token and no record is used more than ``max_repeats`` times, in part included. The cut is found by sums over
     4096 ranges of the order; records are sorted only inside the range of the cut.
 
     Records without a source or with one that isn't listed are left out; a NULL language is one of its own; NULL tokens
     count as 0. Rows of ``targets`` with a NULL share, a share of 0 or without repeats count as unlisted. No records or
-    targets give an empty result.
+    targets give an empty result. There may be any number of sources and languages; none are held by the driver.
     """
-    spark = sized.sparkSession
-    listed = {r[0]: (float(r[1]), int(r[2])) for r in targets.select("source", "target_share", "max_repeats").limit(MAX_LEAVES).collect() if r[0] is not None and (r[1] or 0) > 0 and (r[2] or 0) > 0}
-    names = spark.createDataFrame([(s,) for s in listed], "__src string")
-    docs = sized.select(record, F.col(source).alias("__src"), F.col(lang).alias("__lang"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("__n"))
-    docs = docs.join(F.broadcast(names) if len(listed) < 100_000 else names, "__src").withColumn("__none", F.col("__lang").isNull()).withColumn("__l", F.coalesce("__lang", F.lit("")))
-    leaves = docs.groupBy("__src", "__l", "__none").agg(F.sum("__n").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} pairs of source and language")
-    size = {(r[0], (r[1], r[2])): r["n"] for r in leaves}
-    budgets = leaf_budgets([(s, k, n) for (s, k), n in size.items()], listed, domain_of or {}, total_tokens)
-    plan = []
-    for (s, k), budget in budgets.items():
-        n = size[s, k]
-        epochs = min(listed[s][1], int(budget * (1 + 1e-12) // n))
-        rest = int(round(budget - epochs * n, 3)) if epochs < listed[s][1] else 0
-        plan.append((s, k[0], k[1], epochs, rest))
-    leaf = spark.createDataFrame(plan, "__src string, __l string, __none boolean, __epochs int, __rest bigint")  # one row a leaf
-
-    keys = ["__src", "__l", "__none"]
-    docs = docs.join(F.broadcast(leaf), keys).withColumn("__h", F.xxhash64(F.lit(seed), F.col("__epochs"), F.col(record)))
+    listed = _listed(targets)
+    docs, leaves = _records(sized, listed, record, source, lang, tokens)
+    b = leaf_budgets(leaves, listed, tree, total_tokens)
+    epochs = F.least(F.col("repeats"), F.floor(F.col("budget") * (1 + 1e-12) / F.col("n")))
+    rest = F.when(epochs < F.col("repeats"), F.floor(F.round(F.col("budget") - epochs * F.col("n"), 3))).otherwise(0)
+    leaf = materialize(b.select(*LEAF, epochs.cast("bigint").alias("__epochs"), F.greatest(rest, F.lit(0)).cast("bigint").alias("__rest")), "budgets")
+    few = leaf.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    by_leaf = F.broadcast if few else (lambda df: df)
+
+    docs = docs.join(by_leaf(leaf), LEAF).withColumn("__h", F.xxhash64(F.lit(seed), F.col("__epochs"), F.col("__id")))
     docs = docs.withColumn("__r", F.shiftrightunsigned("__h", 64 - RANGE_BITS).cast("int"))
-    sums = docs.where("__rest > 0").groupBy(*keys, "__r", "__rest").agg(F.sum("__n").alias("s"))
-    upto = W.partitionBy(*keys).orderBy("__r").rowsBetween(W.unboundedPreceding, 0)  # 4096 rows a leaf
+    sums = docs.where("__rest > 0").groupBy(*LEAF, "__r", "__rest").agg(F.sum("__n").alias("s"))
+    upto = W.partitionBy(*LEAF).orderBy("__r").rowsBetween(W.unboundedPreceding, 0)  # 4096 rows a leaf
     cut = sums.withColumn("c", F.sum("s").over(upto)).where("c > __rest")
-    cut = cut.groupBy(*keys).agg(F.min("__r").alias("__cut"), F.min_by(F.col("c") - F.col("s"), "__r").alias("__before"))
-    docs = docs.join(F.broadcast(cut), keys, "left")
+    cut = cut.groupBy(*LEAF).agg(F.min("__r").alias("__cut"), F.min_by(F.col("c") - F.col("s"), "__r").alias("__before"))
+    docs = docs.join(by_leaf(cut), LEAF, "left")
     taken = F.when((F.col("__rest") > 0) & (F.col("__cut").isNull() | (F.col("__r") < F.col("__cut"))), 1).otherwise(0)
     at_cut = (F.col("__r") == F.col("__cut")) & (F.col("__rest") > 0)
     sure = docs.where(~F.coalesce(at_cut, F.lit(False))).withColumn("uses", F.col("__epochs") + taken).withColumn("__part", F.lit(0))
-    order = W.partitionBy(*keys).orderBy("__h", record).rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy(*LEAF).orderBy("__h", "__id").rowsBetween(W.unboundedPreceding, 0)
     edge = docs.where(at_cut).withColumn("__left", F.col("__rest") - F.col("__before") - F.sum("__n").over(order) + F.col("__n"))
     whole = F.col("__left") >= F.col("__n")
     edge = edge.withColumn("uses", F.col("__epochs") + F.when(whole, 1).otherwise(0)).withColumn("__part", F.when(whole, 0).otherwise(F.greatest("__left", F.lit(0))))
-    out = [F.col(record), F.col("__src").alias(source), F.col("__lang").alias(lang), F.col("__n").alias(tokens), F.col("uses").cast("int").alias("uses"), F.col("__part").cast("bigint").alias("part_tokens")]
+    out = [F.col("__id").alias(record), F.col("__src").alias(source), F.col("__lang").alias(lang), F.col("__n").alias(tokens), F.col("uses").cast("int").alias("uses"), F.col("__part").cast("bigint").alias("part_tokens")]
     return sure.select(*out).union(edge.select(*out)).where("uses > 0 or part_tokens > 0")
 
 

@@ -18,8 +18,8 @@ OVERLAP = 128
 PENALTY = np.array([0.0, 1.0, 4.0, 16.0, 64.0, 4096.0])
 CUTS = ("paragraph", "line", "sentence", "word", "character", "byte", "end")
 BALANCE = 10.0
-SPARSE = 256
-THIN = 32
+#: Parts of a step: finer boundaries come in where coarser ones lie further apart than one of the first, one in one of the second.
+SPARSE, THIN = 16, 128
 
 
 def boundary_levels(data: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -40,27 +40,9 @@ def boundary_levels(data: bytes, offsets: np.ndarray) -> np.ndarray:
     return level
 
 
-def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
-    """Ends of the pieces of ``n`` tokens, the last is ``n``. ``levels[i]``: level of a cut before token i (0 < i < n).
-
-    A piece has at most ``most`` tokens, of which all but the first piece's repeat ``overlap``. Minimises the sum of cut
-    penalties and of squared differences from equal lengths. Positions are the paragraph and line ends; where two lie
-    more than SPARSE tokens apart, finer boundaries are added between them, level by level, one in THIN tokens.
-    """
+def _cheapest(at: np.ndarray, pen: np.ndarray, n: int, most: int, overlap: int, target: float) -> list[int]:
+    """The cheapest ends of pieces among the positions ``at``, the last of which is ``n``; none if no choice keeps the limit."""
     step = most - overlap
-    target = (n - overlap) / max(1, -(-(n - overlap) // step))
-    use = levels <= 1
-    for level in range(2, 6):
-        at = np.concatenate([[0], np.flatnonzero(use), [n]])
-        wide = np.flatnonzero(np.diff(at) > SPARSE)
-        if not len(wide):
-            break
-        for k in wide:
-            finer = at[k] + 1 + np.flatnonzero(levels[at[k] + 1 : at[k + 1]] <= level)
-            use[finer[np.r_[True, finer[1:] // THIN != finer[:-1] // THIN]] if len(finer) else finer] = True
-    at = np.concatenate([np.flatnonzero(use), [n]])
-    at = at[at > overlap]
-    pen = np.concatenate([PENALTY[levels[at[:-1]]], [0.0]])
     cost, back = np.full(len(at), np.inf), np.full(len(at), -1)
     low = np.searchsorted(at, at - step)
     for i in range(len(at)):
@@ -73,6 +55,8 @@ def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
             if c[j] < cost[i]:
                 cost[i], back[i] = c[j], lo + j
         cost[i] += pen[i]
+    if not np.isfinite(cost[-1]):
+        return []
     cuts, i = [], len(at) - 1
     while i >= 0:
         cuts.append(int(at[i]))
@@ -80,10 +64,42 @@ def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
     return cuts[::-1]
 
 
+def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
+    """Ends of the pieces of ``n`` tokens, the last is ``n``. ``levels[i]``: level of a cut before token i (0 < i < n).
+
+    A piece has at most ``most`` tokens, of which all but the first piece's repeat ``overlap``. Minimises the sum of cut
+    penalties and of squared differences from equal lengths. Positions are the paragraph and line ends; where two lie
+    more than a SPARSEth of a step apart, finer boundaries are added between them, level by level, one in a THINth of a
+    step. Around the cuts so found all positions are then tried, until none is better.
+    """
+    step = most - overlap
+    sparse, thin = max(1, step // SPARSE), max(1, step // THIN)
+    target = (n - overlap) / max(1, -(-(n - overlap) // step))
+    use = levels <= 1
+    for level in range(2, 6):
+        at = np.concatenate([[0], np.flatnonzero(use), [n]])
+        wide = np.flatnonzero(np.diff(at) > sparse)
+        if not len(wide):
+            break
+        for k in wide:
+            finer = at[k] + 1 + np.flatnonzero(levels[at[k] + 1 : at[k + 1]] <= level)
+            use[finer[np.r_[True, finer[1:] // thin != finer[:-1] // thin]] if len(finer) else finer] = True
+    cuts: list[int] = []
+    while True:
+        at = np.concatenate([np.flatnonzero(use), [n]])
+        at = at[at > overlap]
+        found = _cheapest(at, np.concatenate([PENALTY[levels[at[:-1]]], [0.0]]), n, most, overlap, target)
+        if found == cuts or not found or thin == 1:
+            return found
+        cuts = found
+        for c in cuts[:-1]:
+            use[max(1, c - thin) : c + thin + 1] = True
+
+
 def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, path: str = TOKENIZER) -> list[tuple]:
     """Pieces of a text with more than ``most`` tokens: (first token, end token, first character, first new character,
     end character, name of the cut at its end). Nothing for other texts. If a piece, encoded alone, has more than ``most``
-    tokens, the text is cut again with a limit that much smaller."""
+    tokens, the text is cut again with a limit that much smaller; if no limit is small enough, that is an error."""
     e = encoder(path)
     tokens = e.encode_ordinary(text)
     n = len(tokens)
@@ -99,15 +115,21 @@ def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, path:
     limit = most
     while True:
         pieces, begin = [], 0
-        for end in best_cuts(levels, n, limit, overlap):
+        cuts = best_cuts(levels, n, limit, overlap)
+        if not cuts:
+            break
+        for end in cuts:
             first = max(0, begin - overlap)
             cut = CUTS[int(levels[end])] if end < n else CUTS[-1]
             pieces.append((first, end, int(chars[offsets[first]]), int(chars[offsets[begin]]), int(chars[offsets[end]]), cut))
             begin = end
         over = max(len(e.encode_ordinary(text[p[2] : p[4]])) for p in pieces) - most
-        if over <= 0 or limit - over <= 2 * overlap + 1:
+        if over <= 0:
             return pieces
         limit -= over
+        if limit <= overlap + 1:
+            break
+    raise ValueError(f"the text can't be cut into pieces of at most {most} tokens with an overlap of {overlap}")
 
 
 def split_oversized(
