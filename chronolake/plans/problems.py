@@ -11,7 +11,7 @@ from chronolake.operators.asof import as_known_at
 from chronolake.operators.cuckoo import ask_filters, audit, seen_before, update_filters
 from chronolake.operators.intervals import periods_and_gaps
 from chronolake.operators.ledger import Ledger, new_or_changed, run_gaps, sequence_of
-from chronolake.operators.merkle import history_from_snapshots
+from chronolake.operators.merkle import SnapshotHistory, history_from_snapshots
 from chronolake.operators.salted import index_entries
 from chronolake.plans.registry import core
 from chronolake.session import materialize, shared_dir, table
@@ -170,6 +170,20 @@ def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir).withColumn("balance", F.col("balance").cast("string"))
 
 
+@core.query("p4_appended", _P4.format(more=", nonce, CAST(balance AS VARCHAR) AS balance, code_hash"))
+def p4_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same versions as p4_versions, from a history to which the snapshots were appended one after another."""
+    runs = table(spark, sf_dir, "snapshot_runs").where("tx_num is not null").groupBy("tx_num").agg(F.max(F.coalesce("complete", F.lit(False))).alias("complete"))
+    rows = table(spark, sf_dir, "account_snapshots").select(F.lower("address").alias("address"), "tx_num", "row_id", "nonce", "balance", "code_hash")
+    at = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    rows.where("tx_num is not null").write.partitionBy("tx_num").parquet(f"{at}/snapshots")  # as they would lie when each comes by itself
+    snapshots = spark.read.schema(rows.schema).parquet(f"{at}/snapshots")
+    history = SnapshotHistory(spark, f"{at}/history", key="address", values=["nonce", "balance", "code_hash"], tie="row_id")
+    for run in runs.orderBy("tx_num").toLocalIterator():
+        history.append(snapshots.where(F.col("tx_num") == run["tx_num"]), run["tx_num"], run["complete"])
+    return history.versions().withColumnRenamed("key", "address").withColumn("balance", F.col("balance").cast("string"))
+
+
 @core.query(
     "p5_found",
     "SELECT k, count(DISTINCT tx_num) AS n_tx, min(tx_num) AS first_tx, max(tx_num) AS last_tx FROM change_log WHERE k IS NOT NULL GROUP BY k",

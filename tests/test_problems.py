@@ -13,7 +13,7 @@ from chronolake.operators.asof import as_known_at
 from chronolake.operators.cuckoo import CuckooFilter, ask_filters, seen_before, update_filters
 from chronolake.operators.intervals import periods_and_gaps
 from chronolake.operators.ledger import Ledger, assign_gaps, merge_intervals, new_or_changed, pending, run_gaps, runs_of, sequence_of
-from chronolake.operators.merkle import history_from_snapshots
+from chronolake.operators.merkle import SnapshotHistory, history_from_snapshots
 from chronolake.operators.salted import add_salt, index_entries
 
 EVENTS, VERSIONS = "recon_id long, k long, tx_num long, hist_id string", "hist_id long, k long, tx_num long, known_tx long, v long"
@@ -335,3 +335,34 @@ def test_filters_come_back_from_bytes():
     assert g.has(h).all() and len(g.tables) == len(f.tables) > 2 and g.remove(h[0]) and not f.tables[0].cells is g.tables[0].cells
     g.add(h[:1])
     assert [t.n for t in g.tables] == [t.n for t in f.tables] or g.has(h[:1]).all()
+
+
+def test_snapshots_appended_one_by_one(spark, tmp_path):
+    r = random.Random(21)
+    taken = [(t, r.random() < 0.6) for t in sorted(r.sample(range(100), 9))]
+    data = [(i, r.choice([None, *"abcdefgh"]), t, r.choice([None, 1, 2])) for i in range(4) for t, _ in taken for _ in range(6)]
+    data = [(n, *x[1:]) for n, x in enumerate(data)]
+    df = spark.createDataFrame(data, "row_id long, address string, at long, v long")
+    want, live = [], {}
+    for t, complete in taken:
+        seen = {}
+        for n, a, tt, v in data:
+            if tt == t and a:
+                seen[a] = v
+        for a in [*live]:
+            if (a in seen and seen[a] != live[a][1]) or (complete and a not in seen):
+                want.append((a, live[a][0], t, live.pop(a)[1]))
+        for a, v in seen.items():
+            live.setdefault(a, (t, v))
+    want += [(a, t, -1, v) for a, (t, v) in live.items()]
+    h = SnapshotHistory(spark, str(tmp_path / "h"), key="address", values=["v"], tie="row_id", leaves=40)
+    assert h.versions() is None
+    for t, complete in taken:
+        h.append(df.where(F.col("at") == t).drop("at"), t, complete)
+    none_first = lambda x: sorted(x, key=str)
+    assert none_first(tuple(x) for x in h.versions().collect()) == none_first(want)
+    with pytest.raises(ValueError, match="later"):
+        h.append(df, taken[-1][0])
+    runs = spark.createDataFrame(taken, "at long, complete boolean")
+    whole = history_from_snapshots(df, runs, key=F.col("address"), at="at", tie="row_id", values=["v"])
+    assert none_first(tuple(x) for x in whole.collect()) == none_first(want)
