@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,35 @@ def transform(source: DataFrame, target: DataFrame, *, outputs: list[Column], st
     return load_onto(target, last.select("k", F.col("x.v").alias("v")))
 
 
+class Collector:
+    """Pairs collected batch by batch in files, sorted by key, that outlive the collector: another one on the same folder goes
+    on where it stopped. A batch is named, so one that is collected again replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def collect(self, rows: DataFrame, batch: int) -> None:
+        named = rows.select("k", "v").withColumn("part", F.monotonically_increasing_id())
+        named.sortWithinPartitions("k").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def rows(self) -> DataFrame:
+        """(``k``, ``v``, ``seq``): all pairs, numbered as they came."""
+        return self.spark.read.parquet(self.path).select("k", "v", F.struct(F.col("batch"), F.col("part")).alias("seq"))
+
+    def load(self, target: DataFrame) -> DataFrame:
+        """The target after loading the last value of each key."""
+        return load_onto(target, self.rows().groupBy("k").agg(F.max_by("v", "seq").alias("v")))
+
+
+def following_key(key: Column) -> Column:
+    """next_key of a binary column; an error when run if a key is empty or all 0xff. NULL stays NULL."""
+    h = F.hex(key)
+    kept = F.regexp_replace(h, "^((?:..)*?)(?:FF)*$", "$1")
+    up = F.lpad(F.conv((F.conv(F.right(kept, F.lit(2)), 16, 10).cast("int") + 1).cast("string"), 10, 16), 2, "0")
+    nxt = F.unhex(F.rpad(F.concat(F.left(kept, F.length(kept) - 2), up), F.length(h), F.lit("0")))
+    return F.when(key.isNull(), None).when(F.length(kept) == 0, F.raise_error(F.lit("key has no next one"))).otherwise(nxt)
+
+
 def next_key(key: bytes) -> bytes:
     """The key increased by one as a number of the same length; an error if it is empty or all 0xff."""
     n = int.from_bytes(key) + 1

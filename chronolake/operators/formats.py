@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.operators.ordered import global_rank, running
+from chronolake.operators.ordered import global_rank, neighbour, running
+from chronolake.session import materialize
 
 DICTIONARY_SIZE = 65_536
 #: Characters of the patterns that one automaton takes.
@@ -34,14 +36,115 @@ def word_scores(texts: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg((F.count(F.lit(1)) * F.max(F.length("word"))).cast("bigint").alias("score"))
 
 
+def _common(a: Column, b: Column, most: int) -> Column:
+    """How many characters two texts have in common from their begin, up to ``most``: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    room = F.least(F.length(a), F.length(b), F.lit(most))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= room) & (F.substring(a, 1, n + s) == F.substring(b, 1, n + s)), n + s).otherwise(n))
+
+
+def suffix_array(texts: DataFrame, text_id: str, text: str, depth: int = LONGEST_PATTERN) -> DataFrame:
+    """(``rank``, ``text_id``, ``pos``, ``lcp``): the suffixes of all texts in order, from rank 0, and how many characters each has
+    in common with the one before (NULL for the first).
+
+    Suffixes are compared to ``depth`` characters, what longer ones have in common is cut there, and equal ones follow by
+    text and position; so a suffix is a row of bounded size and all of them are sorted over the cluster. ``text_id`` must be
+    unique; ``pos`` is from 0. NULL and empty texts have no suffixes.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("pos")
+    cut = texts.where(F.length(text) > 0).select(F.col(text_id).alias("__id"), F.col(text).alias("__t"), at)
+    cut = cut.select("__id", "pos", F.col("__t").substr(F.col("pos") + 1, F.lit(depth)).alias("__s"))
+    r = global_rank(cut, order="__s", ties=["__id", "pos"])
+    r = neighbour(r, keys=[], time="rank", take={"__p": "__s"})
+    return r.select("rank", F.col("__id").alias(text_id), "pos", F.when(F.col("__p").isNotNull(), _common(F.col("__s"), F.col("__p"), depth)).alias("lcp"))
+
+
 def frequent_substrings(texts: DataFrame, text: str, shortest: int, longest: int, least: int = 2) -> DataFrame:
     """(``pattern``, ``n``, ``score``): substrings of ``shortest`` to ``longest`` characters that occur ``least`` times or more;
-    the score is what replacing all but one would save."""
-    lengths = F.explode(F.sequence(F.lit(shortest), F.least(F.length(text), F.lit(longest)))).alias("len")
-    cut = texts.where(F.length(text) >= shortest).select(text, lengths)
-    cut = cut.select(text, "len", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("len") + 1)).alias("at"))
-    n = cut.select(F.col(text).substr(F.col("at"), F.col("len")).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    return n.where(F.col("n") >= least).withColumn("score", ((F.col("n") - 1) * F.length("pattern")).cast("bigint"))
+    the score is what replacing all but one would save.
+
+    Lengths are taken level by level of doubling: only positions whose first characters occur often enough are looked at for
+    longer ones, so what occurs once is dropped at its shortest length. NULL and short texts have no substrings.
+    """
+    at = F.explode(F.sequence(F.lit(1), F.length(text) - shortest + 1)).alias("at")
+    places = texts.where(F.length(text) >= shortest).select(at, F.col(text).alias("t"))
+    found, low = None, shortest
+    while low <= longest:
+        high = min(longest, 2 * low - 1)
+        head = F.substring("t", F.col("at"), F.lit(low))
+        often = places.groupBy(head.alias("h")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("h")
+        places = materialize(places.join(often, head == F.col("h"), "left_semi"), "places")
+        lengths = F.sequence(F.lit(low), F.least(F.length("t") - F.col("at") + 1, F.lit(high)))
+        n = places.select("t", "at", F.explode(lengths).alias("len")).groupBy(F.substring("t", F.col("at"), F.col("len")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+        part = n.where(F.col("n") >= least)
+        found = part if found is None else found.union(part)
+        low = high + 1
+        places = places.where(F.length("t") - F.col("at") + 1 >= low)
+        if places.isEmpty():
+            break
+    return found.withColumn("score", ((F.col("n") - 1) * F.length("pattern")).cast("bigint"))
+
+
+def cover(texts: DataFrame, dictionary: DataFrame, *, text_id: str, text: str, word: str = "word") -> DataFrame:
+    """(``text_id``, ``cost``, ``pieces``): each text as dictionary words and single characters, of least cost: a word costs 2, a
+    character 1 (the length of a reference and of a literal). ``pieces`` holds the words and characters in order.
+
+    Positions are settled from left to right, by all words that end there, so time grows with the text and its matches. The
+    dictionary has at most DICTIONARY_SIZE words (more are an error). NULL texts have no row, empty ones no pieces.
+    """
+    words = [r[0] for r in dictionary.select(word).where(F.length(word) > 2).distinct().limit(DICTIONARY_SIZE + 1).collect()]
+    if len(words) > DICTIONARY_SIZE:
+        raise ValueError(f"more than {DICTIONARY_SIZE} words")
+    kind = texts.schema[text_id].dataType.simpleString()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, len(w))
+        if words:
+            automaton.make_automaton()
+        for batch in batches:
+            ids, costs, pieces = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                ends: dict[int, list[int]] = {}
+                for last, size in automaton.iter(t) if words and t else ():
+                    ends.setdefault(last + 1, []).append(size)
+                cost, taken = [0], [0]
+                for at in range(1, len(t) + 1):
+                    best, size = cost[at - 1] + 1, 1
+                    for n in ends.get(at, ()):
+                        if cost[at - n] + 2 < best:
+                            best, size = cost[at - n] + 2, n
+                    cost.append(best)
+                    taken.append(size)
+                cut, at = [], len(t)
+                while at:
+                    cut.append(t[at - taken[at] : at])
+                    at -= taken[at]
+                ids.append(i)
+                costs.append(cost[-1])
+                pieces.append(cut[::-1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(costs, pa.int32()), pa.array(pieces, pa.list_(pa.string()))], [text_id, "cost", "pieces"])
+
+    return texts.where(F.col(text).isNotNull()).select(text_id, text).mapInArrow(settle, f"`{text_id}` {kind}, cost int, pieces array<string>")
+
+
+def code_lengths(counts: dict) -> dict:
+    """Bits of each symbol in an optimal prefix code for ``counts``; a lone symbol has one bit."""
+    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], str(x[0]))))]
+    bits = dict.fromkeys(counts, 0)
+    heapq.heapify(heap)
+    serial = len(heap)
+    while len(heap) > 1:
+        (n, _, a), (m, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in (*a, *b):
+            bits[s] += 1
+        heapq.heappush(heap, (n + m, serial, [*a, *b]))
+        serial += 1
+    return {s: max(1, n) for s, n in bits.items()}
 
 
 def build_dictionary(scores: DataFrame, most: int = DICTIONARY_SIZE) -> DataFrame:

@@ -15,6 +15,12 @@ def build(log: DataFrame, **dimensions: str) -> DataFrame:
     return log.select("tx", F.explode(parts).alias("x")).select("x.name", "x.k", "tx").where("k is not null").distinct()
 
 
+def put(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """The index with more entries (``name``, ``k``, ``tx``); those it has, and entries with a NULL key or time, change nothing."""
+    new = entries.where("name is not null and k is not null and tx is not null").select("name", F.col("k").cast("string").alias("k"), "tx").distinct()
+    return index.select("name", "k", "tx").unionByName(new.join(index, ["name", "k", "tx"], "left_anti"))
+
+
 def index_range(index: DataFrame, name: str, key, start=None, end=None, *, asc: bool = True, limit: int = -1) -> DataFrame:
     """Times of one entry: ascending in [start, end), descending in (end, start]; None is unbounded, limit -1 is none."""
     if start is not None and end is not None and ((start > end) if asc else (start < end)):

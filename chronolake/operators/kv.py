@@ -6,6 +6,8 @@ order of ``k``, ``v``. Frames come out unordered unless a limit makes the order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,3 +159,21 @@ def appended_in_order(table: DataFrame, rows: DataFrame) -> DataFrame:
 def delete(table: DataFrame, keys: DataFrame, exact: bool = False) -> DataFrame:
     """The table without the given keys, or with ``exact`` without the given pairs."""
     return table.join(keys, ["k", "v"] if exact else ["k"], "left_anti")
+
+
+def chunks(table: DataFrame, n: int) -> Iterator[DataFrame]:
+    """The table in about ``n`` ranges of its key, one after another: a long walk whose parts are read, and may be committed,
+    on their own. Ranges are cut at quantiles, follow each other without a gap and don't depend on how often a key occurs;
+    rows of one key stay together. NULL keys come last, in a part of their own."""
+    bounds = table.where("k is not null").agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
+    ends = [None, *sorted(set(bounds)), None]
+    for low, high in zip(ends, ends[1:]):
+        yield table.where(F.col("k").isNotNull() & _bounds(F.col("k"), low, high, True))
+    yield table.where("k is null")
+
+
+def read_ahead(table: DataFrame, start, n: int) -> DataFrame:
+    """The ``n`` entries from key ``start`` on, read once and kept in memory by the executors; unpersist() lets go of them."""
+    ahead = key_range(table, start, limit=n).persist()
+    ahead.count()
+    return ahead

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators.ordered import running
+from chronolake.sources.manifest import Manifests
+from chronolake.sources.store import VersionedTable
 
 MERGED_STEPS = 32
 
@@ -25,6 +31,13 @@ def collate_domain(log: DataFrame, step: int) -> DataFrame:
     return log.groupBy(step_of(step).alias("step"), "k").agg(F.max(F.struct("tx", "v")).alias("x")).select("step", "k", F.col("x.v").alias("v"))
 
 
+def collate_oldest(hot: DataFrame, step: int) -> DataFrame:
+    """(``step``, ``k``, ``v``): of each key of the hot log the oldest step it is still in, and its last value there. What a
+    step's file takes are the rows of that step: keys with an older step left wait for it to be collated and pruned."""
+    at = F.struct(-step_of(step), "tx", "v")
+    return hot.groupBy("k").agg(F.max(at).alias("x")).select((-F.col("x.col1")).alias("step"), "k", F.col("x.v").alias("v"))
+
+
 def write_steps(frame: DataFrame, path: str, mode: str = "append") -> None:
     """Step files: one folder a step, keys in ranges and sorted, so footers prune both time and keys."""
     frame.repartitionByRange("step", "k").sortWithinPartitions("step", "k").write.mode(mode).partitionBy("step").parquet(path)
@@ -136,3 +149,69 @@ def hot_steps(log: DataFrame, step: int, keep: int) -> DataFrame:
 def stats(collated: DataFrame) -> DataFrame:
     """(``step``, ``keys``, ``entries``): what the files hold."""
     return collated.groupBy("step").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("entries"))
+
+
+def integrate(files: DataFrame, merged: DataFrame) -> DataFrame:
+    """The listing (``name``, ``start_step``, ``end_step``) once merged files have joined it: files inside a longer one are gone."""
+    cols = ["name", "start_step", "end_step"]
+    return not_covered(files.select(cols).unionByName(merged.select(cols)))
+
+
+def garbage(files: DataFrame, merged: DataFrame) -> DataFrame:
+    """Files that the merged ones make superfluous; they may be deleted when no reader is at them any more."""
+    cols = ["name", "start_step", "end_step"]
+    return files.select(cols).distinct().join(integrate(files, merged), cols, "left_anti")
+
+
+def prune_in_time(store: VersionedTable, start: int, end: int, *, batch: int, seconds: float, clock: Callable[[], float] = time.monotonic) -> int:
+    """Prunes [start, end) of a stored hot log, ``batch`` times at once, until the time is up; from where the next call must go
+    on (``end`` when all is done). Each batch is a version of its own, so a call that is cut off loses nothing."""
+    until, at = clock() + seconds, start
+    while at < end and clock() < until:
+        upto = min(end, at + batch)
+        store.update(lambda log, a=at, z=upto: prune(log, a, z))
+        at = upto
+    return at
+
+
+class Wal:
+    """Writes that wait in a folder: ``rotate`` takes those there are, ``flush`` makes them part of the hot log at once,
+    ``discard`` drops those that wait. What was flushed is named by a manifest, so a batch counts once or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.manifests = Manifests(spark, self.path, "flushed")
+        self.waiting: list[str] = []
+
+    def write(self, batch: DataFrame) -> None:
+        at = f"{self.path}/batch-{uuid.uuid4().hex}"
+        batch.write.parquet(at)
+        self.waiting.append(at)
+
+    def rotate(self) -> list[str]:
+        taken, self.waiting = self.waiting, []
+        return taken
+
+    def flush(self, taken: list[str]) -> int:
+        version, body = self.manifests.last()
+        return self.manifests.publish(version, {"batches": [*(body or {"batches": []})["batches"], *taken]})
+
+    def discard(self) -> None:
+        for at in self.rotate():
+            self.manifests.delete_folder(at)
+
+    def hot(self) -> DataFrame | None:
+        """All flushed writes; None before the first."""
+        _, body = self.manifests.last()
+        return self.spark.read.parquet(*body["batches"]) if body and body["batches"] else None
+
+
+def build_missed(spark: SparkSession, steps: str, indices: str, step: int) -> list[int]:
+    """Writes the index entries of those step files below ``steps`` that have none below ``indices`` yet; their numbers. Other
+    steps aren't read."""
+    at = Manifests(spark, indices, "none")
+    there = {int(n.split("=")[1]) for n in at.folders(steps) if n.startswith("step=")}
+    missing = sorted(there - {int(n.split("=")[1]) for n in at.folders(indices) if n.startswith("step=")})
+    if missing:
+        write_steps(collate_index(spark.read.parquet(steps).where(F.col("step").isin(missing)), step), indices)
+    return missing

@@ -78,3 +78,39 @@ def versions(changes: DataFrame) -> DataFrame:
     """(``version``, ``n``, ``total``): changes a version and up to it; versions are few, one row each."""
     n = changes.groupBy("version").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("version")))
+
+
+class Batch:
+    """Changes over a base table that are kept apart until they are flushed, with copies of its sequences."""
+
+    def __init__(self, base: DataFrame, sequences: dict[str, int] | None = None) -> None:
+        self.base, self.sequences, self.cleared, self._n = base.select("k", "v"), dict(sequences or {}), False, 0
+        self._log: DataFrame | None = None
+
+    def _add(self, rows: DataFrame) -> None:
+        self._n += 1
+        marked = rows.withColumn("seq", F.lit(self._n))
+        self._log = marked if self._log is None else self._log.unionByName(marked)
+
+    def put(self, rows: DataFrame) -> None:
+        """Of several values for a key the greatest is taken."""
+        self._add(rows.groupBy("k").agg(F.max("v").alias("v")).withColumn("op", F.lit("put")))
+
+    def delete(self, keys: DataFrame) -> None:
+        self._add(keys.select("k").distinct().withColumn("v", F.lit(None).cast(self.base.schema["v"].dataType)).withColumn("op", F.lit("delete")))
+
+    def clear(self) -> None:
+        self._log, self.cleared = None, True
+
+    def increment(self, name: str, by: int) -> int:
+        """The value of a sequence before it is increased; the base's own isn't touched."""
+        before = self.sequences.get(name, 0)
+        self.sequences[name] = before + by
+        return before
+
+    def read(self) -> DataFrame:
+        """The base as it would be after a flush."""
+        if self._log is None:
+            return self.base.limit(0) if self.cleared else self.base
+        put, deleted = compact_mutations(self._log)
+        return read_through(self.base, put, deleted, self.cleared)

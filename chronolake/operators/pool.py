@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolake.operators.ordered import global_rank, running
+from chronolake.sources.store import VersionedTable
 
 
 def unknown(arrivals: DataFrame, *known: DataFrame, key: str) -> DataFrame:
@@ -115,3 +116,40 @@ def add(entries: DataFrame, arrivals: DataFrame, *, key: str, slot: Sequence[str
     """The pool after arrivals: those of known keys are ignored, of several for one slot the best stays."""
     new = arrivals.where(F.col(key).isNotNull()).join(entries.select(key), key, "left_anti").select(*entries.columns)
     return per_slot(entries.unionByName(new), slot, better).select(*entries.columns)
+
+
+def classify(entries: DataFrame, *, fee: str, base_fee: int, order: Sequence[Column], limits: dict[str, int], no_gap: str = "no_gap", covered: str = "covered") -> DataFrame:
+    """Entries with ``pool``: pending if their owner's numbers have no gap, the balance covers them and they pay the base fee,
+    base_fee if only that is missing, otherwise queued. Of each pool the best ``limits`` stay; others are dropped. NULL
+    conditions don't hold."""
+    ready = F.coalesce(F.col(no_gap) & F.col(covered), F.lit(False))
+    pays = F.coalesce(F.col(fee) >= base_fee, F.lit(False))
+    pool = F.when(ready & pays, "pending").when(ready, "base_fee").otherwise("queued")
+    most = F.coalesce(*[F.when(F.col("pool") == p, n) for p, n in limits.items()])
+    ranked = entries.withColumn("pool", pool).withColumn("__rn", F.row_number().over(W.partitionBy("pool").orderBy(*order)))
+    return ranked.where(F.col("__rn") <= max(limits.values())).where(F.col("__rn") <= most).drop("__rn")
+
+
+def after_block(entries: DataFrame, mined: DataFrame, unwound: DataFrame, *, key: str, owner: str, number: str, slot: Sequence[str], better: Sequence[str]) -> DataFrame:
+    """The pool after a block: entries that a block took back are in again, those up to the greatest mined number of their owner
+    are gone, one stays a slot."""
+    return without_done(add(entries, unwound, key=key, slot=slot, better=better), mined, owner, number)
+
+
+def status(entries: DataFrame) -> DataFrame:
+    """(``pool``, ``n``): how many entries each pool has."""
+    return entries.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
+
+
+class PoolStore:
+    """A pool that is kept: each flush is a version that holds the entries and the last block they have seen."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.table = VersionedTable(spark, path)
+
+    def flush(self, entries: DataFrame, last_block: int) -> int:
+        return self.table.commit(entries, note={"last_block": last_block})
+
+    def load(self) -> tuple[DataFrame, int]:
+        """The entries and the last block."""
+        return self.table.view(), self.table.note()["last_block"]

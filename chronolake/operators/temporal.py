@@ -7,8 +7,10 @@ value before each change as ``prev`` (NULL: the key did not exist). "As of T" is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronolake.operators import index as ix
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.ordered import neighbour
 
@@ -100,9 +102,69 @@ def delete_prefix(log: DataFrame, at: int, prefix: str) -> DataFrame:
     return living.select("k", F.lit(at).cast(log.schema["tx"].dataType).alias("tx"), F.lit(None).cast(log.schema["v"].dataType).alias("v"))
 
 
+def add_prev(hist: DataFrame, changes: DataFrame) -> DataFrame:
+    """The history with later changes (``k``, ``tx``, ``v``): the first of each key gets the last value of the history as its
+    value before."""
+    last = hist.groupBy("k").agg(F.max(F.struct("tx", "v")).alias("x")).select("k", F.col("x.v").alias("__last"))
+    new = history(changes).join(last, "k", "left")
+    first = F.col("tx") == F.min("tx").over(W.partitionBy("k"))
+    return hist.select("k", "tx", "v", "prev").unionByName(new.select("k", "tx", "v", F.when(first, F.col("__last")).otherwise(F.col("prev")).alias("prev")))
+
+
+class Writes:
+    """Writes to several domains, a frame each, and to indexes of what happened; times are those of the writer.
+
+    Domains hold text keys; a key of ``child`` begins with the key of ``parent`` it belongs to."""
+
+    def __init__(self, domains: dict[str, DataFrame], index: DataFrame, *, parent: str, child: str) -> None:
+        self.domains, self.index, self.parent, self.child = dict(domains), index, parent, child
+
+    def update(self, domain: str, rows: DataFrame) -> None:
+        """Appends (``k``, ``tx``, ``v``)."""
+        self.domains[domain] = self.domains[domain].unionByName(rows.select("k", "tx", "v"))
+
+    def delete(self, rows: DataFrame) -> None:
+        """Deletes keys (``k``, ``tx``) of the parent domain, and with them those of the child domain that live and begin so."""
+        gone = rows.select("k", "tx").distinct()
+        self.update(self.parent, gone.withColumn("v", F.lit(None).cast(self.domains[self.parent].schema["v"].dataType)))
+        log = self.domains[self.child]
+        size = [r[0] for r in gone.select(F.length("k")).distinct().limit(1001).collect()]
+        if len(size) > 1000:
+            raise ValueError("keys of more than 1000 lengths")
+        owner = log.select("*", F.explode(F.array(*[F.when(F.length("k") >= n, F.substring("k", 1, n)) for n in size])).alias("__owner")) if size else log.limit(0).withColumn("__owner", F.col("k"))
+        before = owner.join(gone.select(F.col("k").alias("__owner"), F.col("tx").alias("__at")), "__owner").where(F.col("tx") < F.col("__at"))
+        living = before.groupBy("k", "__at").agg(F.max(F.struct("tx", "v")).alias("x")).where("x.v is not null")
+        self.update(self.child, living.select("k", F.col("__at").alias("tx"), F.lit(None).cast(log.schema["v"].dataType).alias("v")))
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """Adds (``k``, ``tx``) to an index."""
+        self.index = ix.put(self.index, rows.select(F.lit(name).alias("name"), "k", "tx"))
+
+
 # blocks: (block, max_tx), one row a block
 
 
+def append_blocks(blocks: DataFrame, new: DataFrame) -> DataFrame:
+    """The blocks with new ones behind the last, without a gap; an error when read if one is missing or there already."""
+    last = blocks.agg(F.max("block")).scalar()
+    checked = neighbour(new.select("block", "max_tx"), keys=[], time="block", take={"before": "block"})
+    expected = F.coalesce("before", last) + 1
+    fits = F.when(expected.isNull() | (F.col("block") == expected), F.col("block"))
+    bad = F.raise_error(F.concat(F.lit("block out of order: "), F.col("block").cast("string")))
+    return blocks.select("block", "max_tx").unionByName(checked.select(F.coalesce(fits, bad).cast(blocks.schema["block"].dataType).alias("block"), "max_tx"))
+
+
+def truncate_blocks(blocks: DataFrame, at: int) -> DataFrame:
+    """Blocks before ``at``."""
+    return blocks.where(F.col("block") < at)
+
+
+def first_last_block(blocks: DataFrame) -> DataFrame:
+    """(``first``, ``first_tx``, ``last``, ``last_tx``); NULLs without blocks."""
+    ends = blocks.agg(F.min(F.struct("block", "max_tx")).alias("a"), F.max(F.struct("block", "max_tx")).alias("z"))
+    return ends.select(F.col("a.block").alias("first"), F.col("a.max_tx").alias("first_tx"), F.col("z.block").alias("last"), F.col("z.max_tx").alias("last_tx"))
+
+
 def block_bounds(blocks: DataFrame) -> DataFrame:
     """(``block``, ``min_tx``, ``max_tx``): the first block begins at 0, others after the one before."""
     x = neighbour(blocks.select("block", "max_tx"), keys=[], time="block", take={"before": "max_tx"})

@@ -475,7 +475,20 @@ def _(s, d):
 GAS_PER_BLOB, BLOBS_PER_BLOCK = 131_072, 6
 
 
-@query("pool4_best", None)
+@query(
+    "pool4_best",
+    """WITH RECURSIVE o AS (
+      SELECT *, row_number() OVER (ORDER BY tip DESC, arrival_id DESC) AS rn FROM (
+        SELECT sender_id, nonce, tip, arrival_id, gas, coalesce(len(blob_hashes), 0) * 131072 AS blob FROM pool_txs QUALIFY row_number() OVER (PARTITION BY sender_id, nonce ORDER BY tip DESC, arrival_id DESC) = 1
+      ) WHERE gas > 0
+    ), g(rn, gas_left, blob_left, n, took) AS (
+      SELECT CAST(0 AS BIGINT), CAST(30000000 AS BIGINT), CAST(786432 AS BIGINT), CAST(0 AS BIGINT), false
+      UNION ALL
+      SELECT o.rn, gas_left - CASE WHEN fits THEN gas ELSE 0 END, blob_left - CASE WHEN fits THEN blob ELSE 0 END, n + CASE WHEN fits THEN 1 ELSE 0 END, fits
+      FROM (SELECT g.gas_left, g.blob_left, g.n, o.*, o.gas <= g.gas_left AND o.blob <= g.blob_left AND g.n < 10000 AS fits FROM g JOIN o ON o.rn = g.rn + 1) o
+    )
+    SELECT sender_id, nonce, CAST(tip AS VARCHAR) AS tip, arrival_id, gas FROM o JOIN g USING (rn) WHERE took""",
+)
 def _(s, d):
     """The most generous transactions that fit into a block, one after another: their gas, and the gas of their blobs."""
     blobs = (F.coalesce(F.array_size("blob_hashes"), F.lit(0)) * GAS_PER_BLOB).alias("blob_gas")
@@ -664,7 +677,7 @@ def _(s, d):
     li = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     by_customer = li.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.sum("n").alias("n"))
     places = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    named = by_customer.join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = by_customer.join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return named.groupBy("r_name").agg(F.sum("n").alias("n"))
 
 
@@ -717,7 +730,7 @@ def _(s, d):
     return latest(effective(c))
 
 
-@query("v2_stream_latest")
+@query("v2_stream_latest", f"SELECT k, arg_max_null(v, tx) AS v FROM {EV} GROUP BY k HAVING arg_max_null(v, tx) IS NOT NULL")
 def _(s, d):
     """The latest value of each user, by a stream that reads the events folder once and ends."""
     import uuid

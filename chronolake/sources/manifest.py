@@ -40,6 +40,11 @@ class Manifests:
         finally:
             stream.close()
 
+    def folders(self, path: str) -> list[str]:
+        """Names of what lies in a folder; nothing if it isn't there."""
+        there = self.at(path)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(there)) if self._fs.exists(there) else []
+
     def versions(self) -> list[int]:
         """Numbers of all whole manifests."""
         return [n for n, name, _ in self._there() if self._read(name) is not None]

@@ -28,14 +28,18 @@ class VersionedTable:
             raise LookupError(f"no version {version if version is not None else ''} of {self.path}")
         return self.spark.read.parquet(body["data"])
 
-    def commit(self, df: DataFrame, after: int | None = None) -> int:
+    def note(self) -> dict:
+        """What was noted with the last version."""
+        return (self.manifests.last()[1] or {}).get("note", {})
+
+    def commit(self, df: DataFrame, after: int | None = None, note: dict | None = None) -> int:
         """Writes the version that follows ``after``, by default the last; an error if another writer was first. A run that
         dies leaves only a folder that no manifest names."""
         after = self.manifests.last()[0] if after is None else after
         data = f"{self.path}/data-{uuid.uuid4().hex}"
         df.write.parquet(data)
         try:
-            return self.manifests.publish(after, {"data": data})
+            return self.manifests.publish(after, {"data": data, "note": note or {}})
         except RuntimeError:
             self.manifests.delete_folder(data)
             raise
