@@ -14,6 +14,9 @@ from chronolake.session import materialize, spread, table
 
 llm = Registry()
 
+#: The file of the public tokenizer that these queries count with.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 #: Sources and their domains in the tree of budgets, a table of these data.
 DOMAINS = [
     ("lists_archive", "public"),
@@ -43,7 +46,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "mix_targets").select("source"), "source", "left_semi")
-    return materialize(spread(listed.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", count_tokens(F.col("text")).alias("n_tokens")), "sized")
+    return materialize(spread(listed.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", count_tokens(F.col("text"), TOKENIZER).alias("n_tokens")), "sized")
 
 
 def _tree(spark: SparkSession) -> DataFrame:
@@ -74,9 +77,9 @@ def p8_within_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @llm.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "documents"), with_text=False).where("piece_no = 0").select("doc_id")
+    return split_oversized(table(spark, sf_dir, "documents"), path=TOKENIZER, with_text=False).where("piece_no = 0").select("doc_id")
 
 
 @llm.query("p9_pieces")
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(table(spark, sf_dir, "documents"))
+    return split_oversized(table(spark, sf_dir, "documents"), path=TOKENIZER)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.tokens import TOKENIZER, encoder, token_lengths
+from chronolake.llm.tokens import encoder, token_lengths
 from chronolake.session import spread
 
 MAX_TOKENS = 4096
@@ -96,7 +96,7 @@ def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
             use[max(1, c - thin) : c + thin + 1] = True
 
 
-def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, path: str = TOKENIZER) -> list[tuple]:
+def split_text(text: str, path: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple]:
     """Pieces of a text with more than ``most`` tokens: (first token, end token, first character, first new character,
     end character, name of the cut at its end). Nothing for other texts. If a piece, encoded alone, has more than ``most``
     tokens, the text is cut again with a limit that much smaller; if no limit is small enough, that is an error."""
@@ -133,10 +133,10 @@ def split_text(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, path:
 
 
 def split_oversized(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, path: str = TOKENIZER, with_text: bool = True
+    documents: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, with_text: bool = True
 ) -> DataFrame:
     """(``doc_id``, ``piece_no``, ``n_pieces``, ``tok_start``, ``tok_end``, ``char_start``, ``char_new``, ``char_end``,
-    ``cut``, ``piece``): the pieces of texts with more than ``max_tokens`` tokens.
+    ``cut``, ``piece``): the pieces of texts with more than ``max_tokens`` tokens of the tokenizer in the file ``path``.
 
     Each piece has at most ``max_tokens`` tokens and, but for the first, starts with the last ``overlap`` tokens of the
     piece before. Texts from ``char_new`` to ``char_end`` put together give the document back. A text has no more tokens
@@ -153,7 +153,7 @@ def split_oversized(
             out: list[list] = [[] for _ in range(10)]
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = t.as_py()
-                pieces = split_text(t, max_tokens, overlap, path)
+                pieces = split_text(t, path, max_tokens, overlap)
                 for k, p in enumerate(pieces):
                     for column, x in zip(out, (d, k, len(pieces), *p, t[p[2] : p[4]] if with_text else None)):
                         column.append(x)

@@ -11,13 +11,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE vocabularies of this family cut a text into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(4)
-def encoder(path: str = TOKENIZER):
+def encoder(path: str):
     """The tokenizer of a file of base64 tokens and ranks; loaded once a process."""
     import tiktoken
 
@@ -27,7 +26,7 @@ def encoder(path: str = TOKENIZER):
 
 
 @lru_cache(4)
-def token_lengths(path: str = TOKENIZER) -> np.ndarray:
+def token_lengths(path: str) -> np.ndarray:
     """Bytes of each token id."""
     e = encoder(path)
     out = np.zeros(max(e._mergeable_ranks.values()) + 1, np.int64)
@@ -36,7 +35,7 @@ def token_lengths(path: str = TOKENIZER) -> np.ndarray:
     return out
 
 
-def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
+def count_tokens(text: Column, path: str) -> Column:
     """Tokens of each text; 0 for NULL and empty."""
 
     @F.pandas_udf("bigint")

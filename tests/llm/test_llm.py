@@ -24,7 +24,8 @@ from chronolake.llm.mime import text_parts, words  # noqa: E402
 from chronolake.llm.mix import leaf_budgets as budgets_of  # noqa: E402
 from chronolake.llm.mix import mix, planned_shares, reached_shares  # noqa: E402
 from chronolake.llm.split import split_oversized, split_text  # noqa: E402
-from chronolake.llm.tokens import TOKENIZER, count_tokens, encoder  # noqa: E402
+from chronolake.llm.queries import TOKENIZER  # noqa: E402
+from chronolake.llm.tokens import count_tokens, encoder  # noqa: E402
 
 needs_tokens = pytest.mark.skipif(not Path(TOKENIZER).exists(), reason="no tokenizer file")
 
@@ -259,7 +260,7 @@ TEXTS = [
 @pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("most,overlap", [(64, 8), (256, 0), (100, 49)])
 def test_split_round_trip(text, most, overlap):
-    pieces, n = split_text(text, most, overlap), len(encoder().encode_ordinary(text))
+    pieces, n = split_text(text, TOKENIZER, most, overlap), len(encoder(TOKENIZER).encode_ordinary(text))
     if n <= most:
         assert pieces == []
         return
@@ -272,8 +273,8 @@ def test_split_round_trip(text, most, overlap):
 @pytest.mark.parametrize("most,overlap", [(16, 2), (16, 7), (31, 0), (64, 30), (128, 16), (200, 20), (300, 100), (1024, 128), (4096, 128), (8192, 128)])
 @pytest.mark.parametrize("text", [("word " * 209 + "end\n") * 41, "x1" * 9000, "Ein Satz. " * 4000, "🎉é無" * 3000])
 def test_no_piece_over_any_limit(text, most, overlap):
-    encode = encoder().encode_ordinary
-    n, pieces = len(encode(text)), split_text(text, most, overlap)
+    encode = encoder(TOKENIZER).encode_ordinary
+    n, pieces = len(encode(text)), split_text(text, TOKENIZER, most, overlap)
     assert (len(pieces) > 1) == (n > most) and "".join(text[p[3] : p[4]] for p in pieces) in ("", text)
     assert max((len(encode(text[p[2] : p[4]])) for p in pieces), default=0) <= most
 
@@ -281,7 +282,7 @@ def test_no_piece_over_any_limit(text, most, overlap):
 @needs_tokens
 def test_a_text_that_cannot_be_cut_is_an_error():
     with pytest.raises(ValueError, match="can't be cut"):
-        split_text("🧿🪬" * 40, 2, 0)
+        split_text("🧿🪬" * 40, TOKENIZER, 2, 0)
 
 
 @needs_tokens
@@ -307,9 +308,9 @@ def test_cuts_are_as_good_as_over_all_positions():
 @needs_tokens
 def test_split_prefers_natural_boundaries():
     text = ("One line of words here\n" * 12 + "\n") * 20
-    cuts = [p[5] for p in split_text(text, 200, 10)]
+    cuts = [p[5] for p in split_text(text, TOKENIZER, 200, 10)]
     assert cuts[-1] == "end" and set(cuts[:-1]) == {"paragraph"}
-    assert {p[5] for p in split_text("Some words here, then more. " * 200, 200, 10)[:-1]} == {"sentence"}
+    assert {p[5] for p in split_text("Some words here, then more. " * 200, TOKENIZER, 200, 10)[:-1]} == {"sentence"}
 
 
 @needs_tokens
@@ -317,17 +318,17 @@ def test_split_prefers_natural_boundaries():
 @given(st.text(min_size=0, max_size=400), st.integers(1, 12))
 def test_split_any_text(text, times):
     text = (text * times).encode("utf-8", "ignore").decode()
-    pieces = split_text(text, 40, 6)
+    pieces = split_text(text, TOKENIZER, 40, 6)
     assert not pieces or "".join(text[p[3] : p[4]] for p in pieces) == text
 
 
 @needs_tokens
 def test_split_frames(spark):
     df = spark.createDataFrame([(1, "a b c " * 3000, 5), (2, None, 5), (3, "", 5), (4, "tiny", 5), (1, "a b c " * 3000, 5)], "doc_id long, text string, piece int")
-    got = split_oversized(df)
+    got = split_oversized(df, path=TOKENIZER)
     assert got.where("doc_id = 1").count() == 2 * got.where("doc_id = 1").agg(F.max("n_pieces")).first()[0]
     assert {r[0] for r in got.select("doc_id").collect()} == {1} and got.where("piece is null").count() == 0
-    assert split_oversized(df.limit(0)).count() == 0
+    assert split_oversized(df.limit(0), path=TOKENIZER).count() == 0
     with pytest.raises(ValueError):
-        split_oversized(df, max_tokens=10, overlap=5)
-    assert rows(df.select("doc_id", count_tokens(F.col("text")).alias("n")).where("doc_id > 1")) == [(2, 0), (3, 0), (4, len(encoder().encode_ordinary("tiny")))]
+        split_oversized(df, path=TOKENIZER, max_tokens=10, overlap=5)
+    assert rows(df.select("doc_id", count_tokens(F.col("text"), TOKENIZER).alias("n")).where("doc_id > 1")) == [(2, 0), (3, 0), (4, len(encoder(TOKENIZER).encode_ordinary("tiny")))]
