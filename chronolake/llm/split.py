@@ -70,7 +70,7 @@ def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
     A piece has at most ``most`` tokens, of which all but the first piece's repeat ``overlap``. Minimises the sum of cut
     penalties and of squared differences from equal lengths. Positions are the paragraph and line ends; where two lie
     more than a SPARSEth of a step apart, finer boundaries are added between them, level by level, one in a THINth of a
-    step. Around the cuts so found all positions are then tried, until none is better.
+    step. Around the cuts so found, unless all are line ends, all positions are then tried, until none is better.
     """
     step = most - overlap
     sparse, thin = max(1, step // SPARSE), max(1, step // THIN)
@@ -89,8 +89,8 @@ def best_cuts(levels: np.ndarray, n: int, most: int, overlap: int) -> list[int]:
         at = np.concatenate([np.flatnonzero(use), [n]])
         at = at[at > overlap]
         found = _cheapest(at, np.concatenate([PENALTY[levels[at[:-1]]], [0.0]]), n, most, overlap, target)
-        if found == cuts or not found or thin == 1:
-            return found
+        if found == cuts or not found or thin == 1 or (levels[found[:-1]] <= 1).all():
+            return found  # next to a line end no finer cut is worth its penalty
         cuts = found
         for c in cuts[:-1]:
             use[max(1, c - thin) : c + thin + 1] = True
