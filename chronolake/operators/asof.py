@@ -59,9 +59,8 @@ def as_known_at(
         # a version goes to the first shard of its time, events of one time to all shards of it
         rows = rows.join(F.broadcast(bounds.frame), "__k", "left")
         salt = F.when(F.col("__kind") == 1, F.xxhash64("__ev"))
-        low = first_shard(F.col("__bounds"), F.col("__t"), bounds.longest)
-        at = F.when(F.col("__kind") == 0, low).otherwise(spread_shard(F.col("__bounds"), F.col("__t"), salt, bounds.longest))
-        rows = rows.select("__k", F.when(F.col("__bounds").isNull(), 0).otherwise(at).alias("__shard"), F.coalesce(F.size("__bounds"), F.lit(0)).alias("__last"), "__t", "__kind", "__ver", "__ev")
+        at = F.when(F.col("__kind") == 0, first_shard(F.col("__t"))).otherwise(spread_shard(F.col("__t"), salt))
+        rows = rows.select("__k", at.alias("__shard"), F.coalesce("__last", F.lit(0)).alias("__last"), "__t", "__kind", "__ver", "__ev")
         rows = rows.repartition("__k", "__shard")
         # Both readers of this shuffle take all of its columns, so it is made once: the whole row is compared behind "__ver",
         # and the condition can't be moved below the shuffle as it isn't deterministic.

@@ -26,7 +26,7 @@ def periods_and_gaps(df: DataFrame, *, entity: str, start: str, end: str, hot_ro
     if bounds is None:
         r = r.withColumn("__shard", F.lit(0)).withColumn("__carry", F.lit(None).cast(r.schema["__f"].dataType)).withColumn("__hot", F.lit(False))
     else:
-        r = r.join(F.broadcast(bounds.frame), "__e", "left").withColumn("__shard", first_shard(F.col("__bounds"), F.col("__s"), bounds.longest)).withColumn("__hot", F.col("__bounds").isNotNull()).drop("__bounds")
+        r = r.join(F.broadcast(bounds.frame), "__e", "left").withColumn("__shard", first_shard(F.col("__s"))).withColumn("__hot", F.col("__last").isNotNull()).drop("__bounds", "__starts", "__last")
         earlier = W.partitionBy("__e").orderBy("__shard").rowsBetween(W.unboundedPreceding, -1)
         ends = r.where("__hot").groupBy("__e", "__shard").agg(F.max("__f").alias("__f"), F.max("__s").alias("__s"))
         # "__s" stays in use, so that this branch has the columns of the other one and both read one shuffle

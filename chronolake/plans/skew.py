@@ -17,22 +17,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 
 MIN_ROWS, MAX_ROWS, SHARE = 4_096, 1_000_000, 256
 SAMPLE_ROWS = 1 << 21
 #: Sampled rows a shard must have, so that its bounds are worth something.
 LEAST_SEEN = 10
 #: Bytes below which a frame isn't worth a look: no key of it can be heavy.
-SMALL = 1 << 19
+SMALL = 2 << 20
 
 
 @dataclass
 class Bounds:
-    """Heavy keys. ``frame``: (key, ``__bounds``: ascending times that cut it into shards); ``rows``: what each holds, about."""
+    """Heavy keys. ``frame``: (key, ``__bounds``: different ascending times that cut it into shards, ``__starts``: how many bounds
+    lie before each and in all, as one may be repeated, ``__last``: the last shard); ``rows``: what each key holds, about."""
 
     frame: DataFrame
     rows: dict
-    longest: int
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -133,12 +135,18 @@ def _look(df: DataFrame, key: str, time: str | Sequence[str], hot_rows: int | No
         upto = np.cumsum(weight[at][by_time])
         cut = by_time[np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards), len(at) - 1)]
         bounds = values.take(pa.array(cut)).to_pylist()
-        out.append((value, [b["t0"] for b in bounds if b["t0"] is not None] if isinstance(time, str) else [tuple(b.values()) for b in bounds]))
+        cuts = [b["t0"] for b in bounds if b["t0"] is not None] if isinstance(time, str) else [tuple(b.values()) for b in bounds]
+        different = list(dict.fromkeys(cuts))  # they are sorted
+        starts = [0]
+        for x in different:
+            starts.append(starts[-1] + cuts.count(x) if len(different) < len(cuts) else starts[-1] + 1)
+        out.append((value, different, starts, len(cuts)))
         rows[value] = float(weights[c])
-    kinds = [df.schema[c].dataType.simpleString() for c in names]
-    bound = kinds[0] if isinstance(time, str) else f"struct<{','.join(f'{t}:{k}' for t, k in zip(by, kinds))}>"
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, __bounds array<{bound}>"
-    return total, Bounds(df.sparkSession.createDataFrame(out, schema), rows, max(len(b) for _, b in out))
+    kinds = [df.schema[c].dataType for c in names]
+    bound = kinds[0] if isinstance(time, str) else T.StructType([T.StructField(t, k) for t, k in zip(by, kinds)])
+    arrays = [T.StructField("__bounds", T.ArrayType(bound, False)), T.StructField("__starts", T.ArrayType(T.IntegerType(), False))]
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *arrays, T.StructField("__last", T.IntegerType())])
+    return total, Bounds(df.sparkSession.createDataFrame(out, schema), rows)
 
 
 def heavy_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> tuple[dict, float]:
@@ -147,28 +155,22 @@ def heavy_keys(df: DataFrame, key: str, hot_rows: int | None = None) -> tuple[di
     return found.rows if found else {}, total
 
 
-def _search(bounds: Column, value: Column, before, longest: int) -> Column:
-    """How many leading elements of ``bounds`` satisfy ``before``: a binary search."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(longest.bit_length()))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, s: F.when((at + s <= F.size(bounds)) & before(F.get(bounds, at + s - 1), value), at + s).otherwise(at),
-    )
+def _shard(value: Column, again: Column) -> Column:
+    """The shard of ``value`` by the columns of Bounds: behind all bounds below it, ``again`` of those that are equal."""
+    at = InternalFunction.array_binary_search(F.col("__bounds"), value)
+    shard = F.when(at >= 0, F.get("__starts", at) + again).otherwise(F.get("__starts", -at - 1))
+    return F.when(F.col("__last").isNull(), 0).otherwise(F.coalesce(shard, F.lit(0))).cast("int")
 
 
-def first_shard(bounds: Column, value: Column, longest: int) -> Column:
-    """The shard of ``value``, the first one if a repeated bound spreads it over several; 0 for light keys."""
-    low = _search(bounds, value, lambda b, v: b < v, longest)
-    again = F.coalesce(F.get(bounds, low) == value, F.lit(False))
-    return F.when(bounds.isNull(), 0).otherwise(F.when(again, low + 1).otherwise(low)).cast("int")
+def first_shard(value: Column) -> Column:
+    """The shard of ``value``, the first one if a repeated bound spreads it over several; 0 for light keys and NULL."""
+    return _shard(value, F.lit(1))
 
 
-def spread_shard(bounds: Column, value: Column, salt: Column, longest: int) -> Column:
+def spread_shard(value: Column, salt: Column) -> Column:
     """Like first_shard, but rows of one repeated bound are spread over all of its shards by ``salt``."""
-    low = _search(bounds, value, lambda b, v: b < v, longest)
-    high = _search(bounds, value, lambda b, v: b <= v, longest)
-    return F.when(bounds.isNull(), 0).otherwise(F.when(high > low, low + 1 + F.pmod(salt, high - low)).otherwise(low)).cast("int")
+    at = InternalFunction.array_binary_search(F.col("__bounds"), value)
+    return _shard(value, 1 + F.pmod(salt, F.get("__starts", at + 1) - F.get("__starts", at)))
 
 
 def with_shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None) -> tuple[DataFrame, bool]:
@@ -179,5 +181,5 @@ def with_shards(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_ro
     if bounds is None:
         return rows.withColumn("__shard", F.lit(0)).withColumn("__hot", F.lit(False)).drop("__kh"), False
     value = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(order)])
-    rows = rows.join(F.broadcast(bounds.frame), "__kh", "left").withColumn("__shard", first_shard(F.col("__bounds"), value, bounds.longest))
-    return rows.withColumn("__hot", F.col("__bounds").isNotNull()).drop("__bounds", "__kh"), True
+    rows = rows.join(F.broadcast(bounds.frame), "__kh", "left").withColumn("__shard", first_shard(value))
+    return rows.withColumn("__hot", F.col("__last").isNotNull()).drop("__bounds", "__starts", "__last", "__kh"), True
