@@ -86,7 +86,7 @@ def planned_shares(sized: DataFrame, targets: DataFrame, *, source: str = "sourc
     """(``source``, ``planned_share``): the share of the mix each source with records is to have, after shortages are made up."""
     listed = _listed(targets)
     _, leaves = _records(sized.withColumn("__rec", F.lit(0)), listed, "__rec", source, lang, tokens)
-    b = leaf_budgets(leaves, listed, tree, total_tokens).groupBy(F.col("__src").alias("source")).agg(F.sum("budget").alias("b"))
+    b = leaf_budgets(materialize(leaves, "leaves"), listed, tree, total_tokens).groupBy(F.col("__src").alias("source")).agg(F.sum("budget").alias("b"))
     return b.select("source", (F.col("b") / F.sum("b").over(W.partitionBy(F.lit(0)))).alias("planned_share"))
 
 
@@ -117,7 +117,7 @@ def mix(
     """
     listed = _listed(targets)
     docs, leaves = _records(sized, listed, record, source, lang, tokens)
-    b = leaf_budgets(leaves, listed, tree, total_tokens)
+    b = leaf_budgets(materialize(leaves, "leaves"), listed, tree, total_tokens)  # records are summed up once
     epochs = F.least(F.col("repeats"), F.floor(F.col("budget") * (1 + 1e-12) / F.col("n")))
     rest = F.when(epochs < F.col("repeats"), F.floor(F.round(F.col("budget") - epochs * F.col("n"), 3))).otherwise(0)
     leaf = materialize(b.select(*LEAF, epochs.cast("bigint").alias("__epochs"), F.greatest(rest, F.lit(0)).cast("bigint").alias("__rest")), "budgets")
