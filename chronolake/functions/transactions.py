@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,8 +29,9 @@ SLOT = T.StructType(
 )
 
 
-def parse(raw: bytes, with_sender: bool = True) -> dict:
-    """The slot of one raw transaction, legacy or typed, with or without the blobs beside it. Errors are ValueErrors."""
+def _read(raw: bytes, with_sender: bool) -> tuple[dict, bytes, bytes, tuple]:
+    """The slot of a raw transaction, without what needs hashes; the bytes its hash is of, those that were signed, and the
+    signature."""
     if not raw:
         raise ValueError("empty")
     kind, body = (0, raw) if raw[0] >= 0xC0 else (raw[0], raw[1:])
@@ -55,22 +56,20 @@ def parse(raw: bytes, with_sender: bool = True) -> dict:
         raise ValueError("bad access list")
     if any(isinstance(b, list) or len(b) != 32 for b in x.get("blobs", [])):
         raise ValueError("bad blob hash")
-    sender = None
+    to_sign, odd = b"", v
     if with_sender:
-        signed, odd = list(items[:-3]), v
+        signed = list(items[:-3])
         if kind == 0:
             odd = v - 27 if v < 35 else (v - 35) % 2
             if v >= 35:
                 signed += [rlp.number((v - 35) // 2), b"", b""]
         if odd not in (0, 1):
             raise ValueError("bad signature")
-        sender = recover(keccak256([prefix + rlp.encode(signed)])[0], odd, r, s)
-        if sender is None:
-            raise ValueError("bad signature")
-    return {
+        to_sign = prefix + rlp.encode(signed)
+    slot = {
         "tx_type": kind,
-        "id_hash": keccak256([prefix + rlp.encode(items)])[0],
-        "sender": sender,
+        "id_hash": None,
+        "sender": None,
         "nonce": rlp.to_number(x["nonce"], 8),
         "tip": rlp.to_number(x["tip"]),
         "fee_cap": rlp.to_number(x.get("cap", x["tip"])),
@@ -85,6 +84,35 @@ def parse(raw: bytes, with_sender: bool = True) -> dict:
         "blob_hashes": x.get("blobs"),
         "error": None,
     }
+    return slot, prefix + rlp.encode(items), to_sign, (odd, r, s)
+
+
+def parse_all(raws: Sequence[bytes], with_sender: bool = True) -> list[dict | ValueError]:
+    """The slots of raw transactions, or the errors of those that are none; all hashes are made at once."""
+    out: list[dict | ValueError] = []
+    read: list[tuple] = []
+    for raw in raws:
+        try:
+            read.append((len(out), *_read(raw, with_sender)))
+            out.append(read[-1][1])
+        except ValueError as e:
+            out.append(e)
+    for (_, slot, *_), h in zip(read, keccak256([r[2] for r in read])):
+        slot["id_hash"] = h
+    if with_sender:
+        for (i, slot, _, _, signature), digest in zip(read, keccak256([r[3] for r in read])):
+            slot["sender"] = recover(digest, *signature)
+            if slot["sender"] is None:
+                out[i] = ValueError("bad signature")
+    return out
+
+
+def parse(raw: bytes, with_sender: bool = True) -> dict:
+    """The slot of one raw transaction, legacy or typed, with or without the blobs beside it. Errors are ValueErrors."""
+    slot = parse_all([raw], with_sender)[0]
+    if isinstance(slot, ValueError):
+        raise slot
+    return slot
 
 
 def parse_column(raw: Column, with_sender: bool = True) -> Column:
@@ -97,9 +125,10 @@ def parse_column(raw: Column, with_sender: bool = True) -> Column:
         import decimal
 
         rows = []
-        for x in batch:
+        for row in parse_all([bytes(x) if x is not None else b"" for x in batch], with_sender):
             try:
-                row = parse(bytes(x) if x is not None else b"", with_sender)
+                if isinstance(row, ValueError):
+                    raise row
                 if any(isinstance(row[f.name], int) and isinstance(f.dataType, T.DecimalType) and row[f.name] >= top or isinstance(f.dataType, T.LongType) and row[f.name] >= 2**63 for f in SLOT):
                     raise ValueError("number too large")
             except ValueError as e:

@@ -16,6 +16,7 @@ DICTIONARY_SIZE = 65_536
 #: Characters of the patterns that one automaton takes.
 BLOCK_CHARS = 16 << 20
 SHORTEST_PATTERN, LONGEST_PATTERN = 5, 128
+IN_BUCKET = 2
 
 
 def write_words(words: DataFrame, path: str) -> None:
@@ -176,6 +177,45 @@ def offset_index(entries: DataFrame, size: str) -> DataFrame:
     return twice.select(k.alias("k"), (F.col("rank") - 1).alias("ordinal"), "start")
 
 
+def _slot(key: str, seed: str, size: str) -> Column:
+    return F.pmod(F.xxhash64(key, seed), F.col(size)).cast("int")
+
+
+def perfect_hash(keys: DataFrame, key: str) -> DataFrame:
+    """(``bucket``, ``first``, ``size``, ``seed``): a minimal perfect hash of different non-NULL keys, about a row for IN_BUCKET of
+    them; the keys aren't kept. ``lookup`` gives each key a number of its own below the number of keys.
+
+    Keys fall into buckets by their hash; a bucket's seed is the first that sends its keys to different places. Seeds are
+    tried for all buckets at once, more of them for the few that are left. Without keys there are no rows.
+    """
+    once = keys.select(F.col(key).alias("__k")).where("__k is not null").distinct()
+    n = once.count()
+    buckets = max(1, n // IN_BUCKET)
+    once = materialize(once.select(F.xxhash64("__k", F.lit(1)).alias("h"), F.pmod(F.xxhash64("__k"), F.lit(buckets)).alias("bucket")), "hashes")
+    sizes = once.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("h").alias("d"))
+    sizes = sizes.withColumn("size", F.when(F.col("d") < F.col("size"), F.raise_error(F.lit("two keys have one hash"))).otherwise(F.col("size"))).drop("d")
+    open_, done, low, tries = materialize(once.join(sizes, "bucket"), "open"), None, 0, 64
+    while not open_.isEmpty():
+        tried = open_.withColumn("seed", F.explode(F.sequence(F.lit(low), F.lit(low + tries - 1))))
+        taken = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slot("h", "seed", "size")))
+        fits = tried.groupBy("bucket", "size", "seed").agg(taken.alias("taken")).where("bit_count(taken) = size")
+        found = materialize(fits.groupBy("bucket", "size").agg(F.min("seed").alias("seed")), "seeds")
+        done = found if done is None else done.union(found)
+        open_ = materialize(open_.join(found, "bucket", "left_anti"), "open")
+        low, tries = low + tries, tries * 8
+    if done is None:
+        return once.sparkSession.createDataFrame([], "bucket bigint, first bigint, size bigint, seed int")
+    return running(done.select("bucket", "size", "seed"), keys=[], time="bucket", sums={"__end": "size"}).select("bucket", (F.col("__end") - F.col("size")).alias("first"), "size", "seed")
+
+
+def lookup(index: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """``asked`` with ``ordinal``, the number of its key in the perfect hash; of keys that weren't in it any number, NULL for NULL."""
+    per = index.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.sum("size"), F.lit(0)) / IN_BUCKET)).cast("bigint").alias("n")).scalar()
+    x = asked.withColumn("__h", F.xxhash64(key, F.lit(1))).withColumn("__b", F.pmod(F.xxhash64(key), per))
+    met = x.join(index.select(F.col("bucket").alias("__b"), F.col("first").alias("__first"), F.col("size").alias("__size"), F.col("seed").alias("__seed")), "__b", "left")
+    return met.select(*asked.columns, F.when(F.col(key).isNotNull(), F.col("__first") + _slot("__h", "__seed", "__size")).alias("ordinal"))
+
+
 def repeated_keys(entries: DataFrame) -> DataFrame:
     """(``k``, ``n``): keys that occur more than once."""
     return entries.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronolake.functions import codec
-from chronolake.operators import commitment, etl, formats, kv, overlay, pool
+from chronolake.functions import accounts, codec, lists, rlp, transactions
+from chronolake.operators import commitment, etl, formats, kv, overlay, pool, streams
 from chronolake.operators import index as ix
 from chronolake.operators import lifecycle as lc
 from chronolake.operators import temporal as tp
@@ -19,6 +21,7 @@ from chronolake.session import shared_dir, table
 from chronolake.sources import pages
 from chronolake.sources.catalog import Catalog
 from chronolake.sources.store import VersionedTable
+from chronolake.streaming.fetch import Fetch
 
 query = core.query
 HALF = f"(SELECT max(tx) // 2 FROM {EV})"
@@ -393,3 +396,133 @@ def _(s, d):
     held = pool.per_slot(t.where("not is_local and tx_type <> 0 and id_hash is not null").select(*slot, *better, "id_hash"), slot, better)
     back = t.where("tx_type = 0").select(*slot, *better, "id_hash")
     return pool.after_block(held, t.where("is_local"), back, key="id_hash", owner="sender_id", number="nonce", slot=slot, better=better).select("arrival_id")
+
+
+@query(
+    "pool2_add",
+    """WITH p AS (SELECT sender_id, nonce, tip, arrival_id, id_hash FROM pool_txs WHERE arrival_id % 2 = 0 AND id_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sender_id, nonce ORDER BY tip DESC, arrival_id DESC) = 1),
+    u AS (SELECT sender_id, nonce, tip, arrival_id, id_hash FROM pool_txs WHERE arrival_id % 2 = 1 AND id_hash IS NOT NULL AND id_hash NOT IN (SELECT id_hash FROM p))
+    SELECT arrival_id FROM (SELECT * FROM p UNION ALL SELECT * FROM u) QUALIFY row_number() OVER (PARTITION BY sender_id, nonce ORDER BY tip DESC, arrival_id DESC) = 1""",
+)
+def _(s, d):
+    t = txs(s, d).select("sender_id", "nonce", "tip", "arrival_id", "id_hash")
+    slot, better = ["sender_id", "nonce"], ["tip", "arrival_id"]
+    held = pool.per_slot(t.where("arrival_id % 2 = 0 and id_hash is not null"), slot, better)
+    return pool.add(held, t.where("arrival_id % 2 = 1"), key="id_hash", slot=slot, better=better).select("arrival_id")
+
+
+@query("pool20_fetch", "SELECT arrival_id FROM pool_txs WHERE id_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sender_id, nonce ORDER BY tip DESC, arrival_id DESC) = 1")
+def _(s, d):
+    """Packets of transactions, an array of them a row, as a stream into a kept pool."""
+    at = fresh(s, "fetch")
+    one = F.struct("sender_id", "nonce", "tip", "arrival_id", "id_hash")
+    packets = txs(s, d).groupBy(F.floor(F.col("arrival_id") / 64).alias("packet")).agg(F.collect_list(one).alias("txs"))
+    packets.write.parquet(f"{at}/packets")
+    fetch = Fetch(pool.PoolStore(s, f"{at}/pool"), key="id_hash", slot=["sender_id", "nonce"], better=["tip", "arrival_id"], read=lambda b: b.select(F.explode("txs").alias("x")).select("x.*"))
+    fetch.follow(s.readStream.schema(packets.schema).parquet(f"{at}/packets"), f"{at}/checkpoint").awaitTermination()
+    return fetch.store.load()[0].select("arrival_id")
+
+
+# streams and files -----------------------------------------------------------------------------------------------------------------
+
+
+@query("i15_expect_equal", "SELECT true AS equal, false AS after_a_change")
+def _(s, d):
+    a = order_pairs(s, d)
+    return s.createDataFrame([(streams.same(a, a.repartition(3)), streams.same(a, a.union(a.limit(1))))], "equal boolean, after_a_change boolean")
+
+
+@query("i16_pairs_with_error", f"SELECT count(*) FILTER (WHERE v < 500) AS before, true AS failed FROM {OP}")
+def _(s, d):
+    """A stream that fails at one entry: what lies before it can be read, reading on raises the error."""
+    at = 500
+    n = streams.failing(order_pairs(s, d).where("v < 500"), at, "v").agg(F.count("v")).first()[0]
+    bad = streams.failing(order_pairs(s, d), at, "v")
+    try:
+        bad.agg(F.sum("v")).collect()
+        failed = False
+    except Exception as e:
+        failed = "expected error at iteration" in str(e)
+    return s.createDataFrame([(n, failed)], "before bigint, failed boolean")
+
+
+@query("i17_order", f"SELECT * FROM (SELECT 'asc' AS way, v FROM {OP} ORDER BY v LIMIT 200) UNION ALL SELECT * FROM (SELECT 'desc', v FROM {OP} ORDER BY v DESC LIMIT 200)")
+def _(s, d):
+    v = order_pairs(s, d).select("v")
+    return streams.union(v, v, limit=200).select(F.lit("asc").alias("way"), "v").union(streams.union(v, v, asc=False, limit=200).select(F.lit("desc").alias("way"), "v"))
+
+
+@query("c4_step_files", f"SELECT tx // 1000 AS step, k, tx, v FROM {EV} WHERE tx // 1000 >= 2 AND tx // 1000 < 7")
+def _(s, d):
+    at = fresh(s, "steps")
+    lc.write_steps(events(s, d).select("k", "tx", "v").withColumn("step", lc.step_of(STEP)), at)
+    return lc.read_steps(s, at, 2, 7).select(F.col("step").cast("bigint").alias("step"), "k", "tx", "v")
+
+
+@query("z1_word_file", "SELECT n, word FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, p_name AS word FROM part) WHERE n >= 700")
+def _(s, d):
+    at = fresh(s, "words")
+    words = kv.sequence(table(s, d, "part").select("p_partkey", F.col("p_name").alias("word")), "p_partkey")
+    formats.write_words(words.select(F.col("seq").alias("n"), "word"), at)
+    return formats.read_words(s, at, 700)
+
+
+@query("z10_perfect_hash", "SELECT count(DISTINCT o_orderkey) AS keys, count(DISTINCT o_orderkey) AS ordinals, CAST(0 AS BIGINT) AS first, count(DISTINCT o_orderkey) - 1 AS last FROM orders")
+def _(s, d):
+    """Each key has a number of its own, and the numbers have no gap."""
+    keys = table(s, d, "orders").select("o_orderkey")
+    o = formats.lookup(formats.perfect_hash(keys, "o_orderkey"), keys.distinct(), "o_orderkey")
+    return o.agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("ordinal").alias("ordinals"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+
+
+# byte forms --------------------------------------------------------------------------------------------------------------------------
+
+
+@F.pandas_udf(T.BinaryType())
+def _typed(nonce: pd.Series, tip: pd.Series, fee_cap: pd.Series, gas: pd.Series, value: pd.Series, creation: pd.Series) -> pd.Series:
+    """Transactions of type 2 with a placeholder for their signature."""
+    n = rlp.number
+    rows = zip(nonce, tip, fee_cap, gas, value, creation)
+    return pd.Series([b"\x02" + rlp.encode([n(1), n(int(a)), n(int(t)), n(int(f)), n(int(g)), b"" if c else b"\x05" * 20, n(int(v)), b"ab\0", [], n(0), n(1), n(1)]) for a, t, f, g, v, c in rows], dtype=object)
+
+
+@query("f10_parse_transactions", "SELECT arrival_id, nonce, CAST(tip AS VARCHAR) AS tip, CAST(fee_cap AS VARCHAR) AS fee_cap, gas, CAST(tx_value AS VARCHAR) AS value, creation, 3 AS data_len, 2 AS data_nonzero_len FROM pool_txs")
+def _(s, d):
+    cols = ["tip", "fee_cap", "tx_value"]
+    t = txs(s, d).select("arrival_id", "nonce", "gas", "creation", *[F.col(c).cast("string").alias(c) for c in cols])
+    raw = t.select("arrival_id", _typed("nonce", "tip", "fee_cap", "gas", "tx_value", "creation").alias("raw"))
+    x = raw.select("arrival_id", transactions.parse_column(F.col("raw"), with_sender=False).alias("x"))
+    out = [F.col(f"x.{c}").cast("string").alias(c) for c in ("tip", "fee_cap", "value")]
+    return x.select("arrival_id", "x.nonce", "x.gas", "x.creation", F.col("x.data_len").cast("int").alias("data_len"), F.col("x.data_nonzero_len").cast("int").alias("data_nonzero_len"), *out)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packet(request: pd.Series, hashes: pd.Series) -> pd.Series:
+    return pd.Series([transactions.hashes_packet(int(r), [bytes(h) for h in hs]) for r, hs in zip(request, hashes)], dtype=object)
+
+
+@query("f11_hash_packets", "SELECT arrival_id // 50 AS request, lower(hex(id_hash)) AS item FROM pool_txs WHERE octet_length(id_hash) = 32")
+def _(s, d):
+    t = txs(s, d).where(F.octet_length("id_hash") == 32).groupBy(F.floor(F.col("arrival_id") / 50).alias("request")).agg(F.collect_list("id_hash").alias("hashes"))
+    sent = t.select(_packet("request", "hashes").alias("p"))
+    got = sent.mapInPandas(transactions.explode_packets("p", transactions.parse_hashes_packet), "request bigint, item binary")
+    return got.select("request", F.lower(F.hex("item")).alias("item"))
+
+
+@F.pandas_udf(T.StructType().add("nonce", T.LongType()).add("balance", T.StringType()))
+def _sender_round(nonce: pd.Series, balance: pd.Series) -> pd.DataFrame:
+    back = [accounts.decode_sender(accounts.encode_sender(int(n), int(b))) for n, b in zip(nonce, balance)]
+    return pd.DataFrame({"nonce": [x[0] for x in back], "balance": [str(x[1]) for x in back]})
+
+
+@query("f12_senders", "SELECT row_id, nonce, CAST(balance AS VARCHAR) AS balance FROM account_snapshots WHERE balance IS NOT NULL")
+def _(s, d):
+    a = table(s, d, "account_snapshots").where("balance is not null")
+    return a.select("row_id", _sender_round("nonce", F.col("balance").cast("string")).alias("x")).select("row_id", "x.*")
+
+
+@query("f14_lists", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS a, CAST(o_orderkey * 3 AS VARCHAR) AS b FROM orders")
+def _(s, d):
+    little = lambda x: F.unhex(F.array_join(F.reverse(F.array(*[F.substring(F.hex(codec.u64_bytes(x)), 2 * i + 1, F.lit(2)) for i in range(8)])), ""))
+    o = table(s, d, "orders").select("o_orderkey", F.concat(little(F.col("o_custkey")), little(F.col("o_orderkey") * 3)).alias("data"))
+    return o.select("o_orderkey", lists.numbers(F.col("data"), 4).alias("x")).select("o_orderkey", F.get("x", F.lit(0)).cast("string").alias("a"), F.get("x", F.lit(1)).cast("string").alias("b"))

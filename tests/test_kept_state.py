@@ -242,3 +242,12 @@ def test_pool_that_is_kept(spark, tmp_path):
     store.flush(got.limit(0), 10)
     kept, block = store.load()
     assert (kept.count(), block) == (0, 10) and kept.columns == got.columns and rows(pool.status(got)) == [("base_fee", 2), ("pending", 1), ("queued", 2)]
+
+
+def test_perfect_hash(spark):
+    keys = [f"key {i}" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in [*keys, keys[0], None]], "k string")
+    index = formats.perfect_hash(df, "k")
+    got = formats.lookup(index, spark.createDataFrame([(k, 1) for k in [*keys, "unknown", None]], "k string, seed int"), "k").collect()
+    assert sorted(r.ordinal for r in got if r.k in {*keys}) == [*range(3000)] and [r.ordinal for r in got if r.k is None] == [None]
+    assert formats.perfect_hash(df.limit(0), "k").count() == 0 and formats.lookup(index.limit(0), df.limit(1), "k").count() == 1
