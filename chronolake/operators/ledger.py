@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chronolake.operators.asof import as_known_at
 from chronolake.operators.intervals import periods_and_gaps
+from chronolake.plans.skew import heavy_keys
 from chronolake.sources.manifest import Manifests
 
 MAX_BROADCAST_INTERVALS = 100_000
@@ -207,8 +208,8 @@ def new_or_changed(log: DataFrame, gaps: DataFrame, *, record: Sequence[str], se
     """Columns ``keep`` of the rows that a run takes as new or changed, with the columns of its gap.
 
     Of each record a run takes the last row in its gap (by ``seq``, then ``tie``). It counts if no earlier run saw the
-    record, or if ``values`` differ from what was last taken (NULL equals NULL). Copies of one record are reduced before
-    the first shuffle, so a record that is delivered very often is no hot spot.
+    record, or if ``values`` differ from what was last taken (NULL equals NULL). Rows are shuffled once, by their record;
+    copies of a record that is delivered very often are reduced before that, so it is no hot spot.
 
     Rows without a sequence number are never seen. A NULL in ``record`` is a value like others; drop such rows before if
     they don't count. An empty log or no successful run gives an empty result.
@@ -216,8 +217,19 @@ def new_or_changed(log: DataFrame, gaps: DataFrame, *, record: Sequence[str], se
     cols = list(dict.fromkeys([*record, tie, *values, *keep]))
     seen = assign_gaps(log.select(*cols, seq.alias("__seq")).where("__seq is not null"), "__seq", gaps)
     gap = [c for c in gaps.columns if c not in ("__lo", "__hi")]
-    taken = seen.groupBy(*record, *gap).agg(F.max(F.struct("__seq", tie, *[c for c in cols if c not in (*record, tie)])).alias("__x"))
-    taken = taken.select(*record, *gap, *[F.col(f"__x.{c}").alias(c) for c in cols if c not in record])
+    rest = [c for c in cols if c not in (*record, tie)]
+    seen = seen.select(*record, *gap, "__seq", tie, *rest)
+
+    def last(rows: DataFrame) -> DataFrame:
+        x = rows.groupBy(*record, *gap).agg(F.max(F.struct("__seq", tie, *rest)).alias("__x"))
+        return x.select(*record, *gap, *[F.col(f"__x.{c}").alias(c) for c in ("__seq", tie, *rest)])
+
+    heavy, _ = heavy_keys(log.select(F.xxhash64(*record).alias("__rh")), "__rh")
+    if heavy:
+        hot = F.broadcast(log.sparkSession.createDataFrame([(h,) for h in heavy], "__rh bigint"))
+        match = F.xxhash64(*record) == F.col("__rh")
+        seen = seen.join(hot, match, "left_anti").unionByName(last(seen.join(hot, match, "left_semi")))
+    taken = last(seen.repartition(*record)).drop("__seq")
     order = W.partitionBy(*record).orderBy("__rank")
     taken = taken.withColumn("__before", F.lag("__rank").over(order)).withColumn("__old", F.lag(F.struct(*values)).over(order))
     return taken.where(F.col("__before").isNull() | ~F.struct(*values).eqNullSafe(F.col("__old"))).select(*gap, *keep)

@@ -103,6 +103,19 @@ def test_new_or_changed_against_model(spark):
     assert got == sorted(want)
 
 
+def test_record_delivered_very_often(spark, monkeypatch):
+    from chronolake.operators import ledger
+    from chronolake.plans import skew
+
+    log = [(i, 1, 4, 7, at(i % 60), "x") for i in range(900)] + [(2000 + i, i % 50, i % 3, i % 2, at(i % 60), "x") for i in range(300)]
+    rf = spark.createDataFrame([(1, at(20)), (2, at(70))], "run_id long, cutoff_at timestamp")
+    gaps = run_gaps(rf, run_id="run_id", cutoff="cutoff_at", ok=F.lit(True)).withColumnRenamed("run_id", "run")
+    how = dict(record=["k", "tx_num"], seq=sequence_of(F.col("arrived_at")), tie="change_id", values=["v"], keep=["change_id"])
+    want = rows(new_or_changed(spark.createDataFrame(log, LOG), gaps, **how))
+    monkeypatch.setattr(ledger, "heavy_keys", lambda df, key: skew.heavy_keys(df, key, 100))
+    assert rows(new_or_changed(spark.createDataFrame(log, LOG), gaps, **how)) == want and len(want) > 60
+
+
 def test_no_runs(spark):
     rf = spark.createDataFrame([], "run_id long, cutoff_at timestamp, status string")
     gaps = run_gaps(rf, run_id="run_id", cutoff="cutoff_at", ok=F.lit(True))
