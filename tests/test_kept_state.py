@@ -251,3 +251,10 @@ def test_perfect_hash(spark):
     got = formats.lookup(index, spark.createDataFrame([(k, 1) for k in [*keys, "unknown", None]], "k string, seed int"), "k").collect()
     assert sorted(r.ordinal for r in got if r.k in {*keys}) == [*range(3000)] and [r.ordinal for r in got if r.k is None] == [None]
     assert formats.perfect_hash(df.limit(0), "k").count() == 0 and formats.lookup(index.limit(0), df.limit(1), "k").count() == 1
+
+
+def test_touched_keys_have_the_path_of_their_hash(spark):
+    from chronolake.functions.keccak import keccak256
+
+    log = spark.createDataFrame([(1, 5), (1, 6), (2, 4), (None, 9), (37, 5)], "k long, tx long")
+    assert rows(commitment.touched_keys(log, 5)) == sorted((k, keccak256([str(k).encode()])[0].hex()) for k in (1, 37))
