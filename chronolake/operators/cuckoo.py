@@ -41,6 +41,11 @@ class CuckooTable:
         mixed = fp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (bucket.astype(np.uint64) ^ (mixed >> np.uint64(20))) & self.mask
 
+    def firsts(self, h: np.ndarray) -> np.ndarray:
+        """Places of the first of those hashes that the table can't tell apart: same fingerprint, same two buckets."""
+        fp, a, b = self.prints(h)
+        return np.sort(np.unique(np.minimum(a, b) << 16 | fp, return_index=True)[1])
+
     def has(self, h: np.ndarray) -> np.ndarray:
         fp, a, b = self.prints(h)
         return (self.cells[a] == fp[:, None]).any(1) | (self.cells[b] == fp[:, None]).any(1)
@@ -155,25 +160,34 @@ class CuckooFilter:
         return out
 
     def seen_then_add(self, h: np.ndarray) -> np.ndarray:
-        """For hashes in order of arrival: whether each was seen before, earlier ones of ``h`` included."""
+        """For hashes in order of arrival: what the filter says of each with the earlier ones of ``h`` in it. Hashes that it
+        calls seen aren't added, so those of a filter filled this way mustn't be removed."""
         seen = self.has(h)
-        _, first = np.unique(h, return_index=True)
-        again = np.ones(len(h), bool)
-        again[first] = False
-        new = ~seen & ~again
-        self.add(h[new])
-        return seen | again
+        todo = np.flatnonzero(~seen)
+        while len(todo):
+            table = self.tables[-1]
+            if table.room() <= 0:
+                self._grow()
+                continue
+            first = table.firsts(h[todo])[: table.room()]
+            added = table.add(h[todo[first]])
+            if not added.all():
+                self._grow()
+            rest = np.delete(todo, first[added])
+            seen[rest] = table.has(h[rest])
+            todo = rest[~seen[rest]]
+        return seen
 
 
-def _bucket(h: str, bits: int) -> Column:
+def _bucket(h: str | Column, bits: int) -> Column:
     """The leading bits of a hash."""
     return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
 
 
 def seen_before(arrivals: DataFrame, *, key: str, order: str, log2_buckets: int = 12, bucket_rows: int = BUCKET_ROWS, hot_rows: int | None = None) -> DataFrame:
     """(``order``, ``said``, ``raw``, ``repeat``): per arrival with a non-NULL key, what is said of it, what its filter said and
-    what is true. ``said`` and ``raw`` differ for heavy keys only: each filter they are spread over calls its first arrival
-    new, and ``said`` has these put right.
+    what is true. A filter calls some new keys seen, which the exact check puts right. ``said`` and ``raw`` differ for heavy
+    keys only: each filter they are spread over calls its first arrival new, and ``said`` has these put right.
 
     Arrivals are shuffled once, by the hash of their key, and pass the filter of their bucket in order of arrival. The exact
     check follows where they are: only arrivals whose hash a filter called seen have their keys compared, with those of the
@@ -198,7 +212,8 @@ def seen_before(arrivals: DataFrame, *, key: str, order: str, log2_buckets: int
         salt = F.when(F.col("__first").isNotNull(), F.pmod(F.xxhash64("__o"), F.lit(salts))).otherwise(0)
     else:
         rows = rows.withColumn("__first", F.lit(None).cast(kind["__o"]))
-    rows = rows.withColumn("__b", _bucket("__h", bits)).repartition(parts, F.col("__h"), salt).sortWithinPartitions("__b", "__o").select("__b", "__o", "__k", "__h", "__first")
+    # the 16 leading bits are the fingerprint: buckets go by the bits behind them
+    rows = rows.withColumn("__b", _bucket(F.shiftleft("__h", 16), bits)).repartition(parts, F.col("__h"), salt).sortWithinPartitions("__b", "__o").select("__b", "__o", "__k", "__h", "__first")
 
     def settle(bucket: pa.Table) -> pa.RecordBatch:
         h = bucket.column("__h").to_numpy().view(np.uint64)
@@ -270,7 +285,7 @@ def update_filters(filters: DataFrame | None, keys: DataFrame, *, key: str, remo
             for x in h[held.has(h)]:
                 held.remove(x)
         else:
-            held.seen_then_add(h)
+            held.add(h[~held.has(h)])  # also those that look alike, so that one can be taken out without the other
         bucket = (state if state.num_rows else hashes).column("bucket")[:1]
         return pa.table([bucket, pa.array([held.dumps()], pa.binary())], ["bucket", "state"])
 
